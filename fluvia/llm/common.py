@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluvia.functions.session import ship_package
+
 #: Rows and bytes of one Arrow batch; a batch of very long texts must fit a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -20,7 +22,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python workers receive."""
+    """Give Python workers this package, and bound the Arrow batches that they receive."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

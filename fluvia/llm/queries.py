@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import bpe, longest_match, repair, shards, topk
+from fluvia.llm import bpe, decontaminate, langid, longest_match, lsh_forest, quality, repair, shards, topk, wrapper
 from fluvia.llm.common import table
 from fluvia.llm.tokenize import default_path
 
@@ -16,6 +16,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_match.token_counts(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"))
 
@@ -26,17 +30,45 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = repair.write_documents(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
     return repair.read_digests(spark, folder)
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op3_token_counts, op4_balanced_shards, op8_repair_token_files, op10_exact_top_k)
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_jaccard_join,
+        op3_token_counts,
+        op4_balanced_shards,
+        op5_main_text,
+        op6_quality,
+        op7_language,
+        op8_repair_token_files,
+        op9_benchmark_leaks,
+        op10_exact_top_k,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -224,7 +224,9 @@ def jaccard_classes(df: DataFrame, similarity: float = SIMILARITY, recall: float
         "c", F.xxhash64("tree", "prefix").alias("h")
     )
     leasts = stored(met.groupBy("h").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "least"), "prefixes")
-    edges = met.join(leasts, "h").where("c <> least").select(F.col("c").alias("u"), F.col("least").alias("v")).distinct()
+    # A class meets at most one least class a tree; its own least one ties it to all of them with few distinct edges.
+    tied = stored(met.join(leasts, "h").groupBy("c").agg(F.min("least").alias("v"), F.collect_set("least").alias("others")), "tied")
+    edges = tied.select(F.col("c").alias("u"), "v").unionByName(tied.select(F.explode("others").alias("u"), "v").distinct()).where("u <> v")
     groups = components(edges).select(F.col("node").alias("c"), "comp")
     member = stored(groups.join(classes.drop("sig"), "c"), "members")
     sizes = member.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))

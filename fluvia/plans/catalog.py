@@ -1,7 +1,17 @@
-"""Registry of the engine's named queries."""
+"""Registry of the engine's named queries and, where SQL can express them, their DuckDB equivalents."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fluvia.plans import grid_queries, mesh_queries, table_queries
+
+FLAGSHIP = "river_network_carved_terrain"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (grid_queries, table_queries, mesh_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 500_000
 MEMO_PIECE_CHARS = 64
 
 
@@ -85,25 +85,20 @@ class PieceMemo(dict):
         old = self.old
         new: list[str] = []
         pointed: list[str] = []
-        for p in pieces:
-            if p in self or len(p) > MEMO_PIECE_CHARS:
+        for p in set(pieces).difference(self):
+            if p in old:
+                self[p] = old[p]
+            elif len(p) > MEMO_PIECE_CHARS:
                 continue
-            ids = old.get(p)
-            if ids is not None:
-                self[p] = ids
             elif p[-1:] in self.points and p[-2:-1].isalpha():
                 pointed.append(p)
                 if (stem := p[:-1]) not in self:
-                    if stem in old:
-                        self[stem] = old[stem]
-                    else:
-                        self[stem] = b""
-                        new.append(stem)
+                    new.append(stem)
+                    self[stem] = old.get(stem, b"")
             else:
-                self[p] = b""
                 new.append(p)
-        for piece, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = array("H", code.ids).tobytes()
+        new = [p for p in dict.fromkeys(new) if not self.get(p)]
+        self.update(zip(new, [array("H", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
         for p in pointed:
             self[p] = self[p[:-1]] + self.points[p[-1]]
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fluvia.functions.session import ship_package
 
 #: Rows and bytes of one Arrow batch; a batch of very long texts must fit a Python worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []

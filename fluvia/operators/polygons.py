@@ -157,3 +157,38 @@ def strip_cells(stations: DataFrame, cross: float, least_width: float) -> DataFr
     corners = [at("", F.col("band") + 1), at("", F.col("band")), at("1", F.col("band")), at("1", F.col("band") + 1)]
     ring = F.array(*[F.struct(F.lit(i).alias("seq"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(corners)])
     return rows.select(F.xxhash64("reach_id", "seq", "band").alias("face_id"), "reach_id", "band", F.col("seq").alias("seq0"), F.lit(0).alias("ring"), F.explode(ring).alias("c")).select("face_id", "reach_id", "band", "seq0", "ring", "c.*")
+
+
+def stitched(edges: DataFrame) -> DataFrame:
+    """face_id, ring, seq, x, y from directed outline edges(face_id, ax, ay, bx, by); the ring of largest area is the outline."""
+    ship_package(edges.sparkSession)
+    edge = F.struct("ax", "ay", "bx", "by")
+    faces = edges.groupBy("face_id").agg(F.sort_array(F.collect_list(edge)).alias("e"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = lambda x, y: (round(x / 1e-4), round(y / 1e-4))
+        for pdf in batches:
+            out = []
+            for face, parts in zip(pdf["face_id"], pdf["e"], strict=True):
+                begin: dict[tuple, list] = {}
+                for p in parts:
+                    begin.setdefault(key(p["ax"], p["ay"]), []).append(p)
+                rings = []
+                while begin:
+                    start = next(iter(begin))
+                    at, ring = start, []
+                    while at in begin:
+                        p = begin[at].pop()
+                        if not begin[at]:
+                            del begin[at]
+                        ring.append((p["ax"], p["ay"]))
+                        at = key(p["bx"], p["by"])
+                        if at == start:
+                            break
+                    if len(ring) > 2:
+                        rings.append(np.array(ring, float))
+                rings.sort(key=lambda r: -abs(ring_area(r)))
+                out += [(face, n, s, float(x), float(y)) for n, r in enumerate(rings) for s, (x, y) in enumerate(r)]
+            yield pd.DataFrame(out, columns=["face_id", "ring", "seq", "x", "y"])
+
+    return faces.mapInPandas(run, "face_id long, ring int, seq int, x double, y double")

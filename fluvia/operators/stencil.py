@@ -41,13 +41,14 @@ def receivers(cells: DataFrame, z: str = "z", scheme: str = "d4", dx: float = 30
     """Add ``receiver`` (cell_id of the steepest lower neighbour, null if none) and ``distance`` to it."""
     around = offsets(scheme)
     seen = gathered(cells, [z, "cell_id"], around)
-    choice = None
-    for name, (r, c) in around.items():
+    options = []
+    for rank, (name, (r, c)) in enumerate(around.items()):
         far = ((r * dy) ** 2 + (c * dx) ** 2) ** 0.5
         slope = (F.col(z) - F.col(f"{z}_{name}")) / far
-        new = F.struct(F.when(slope > 0, slope).otherwise(0.0).alias("slope"), F.when(slope > 0, F.col(f"cell_id_{name}")).alias("receiver"), F.lit(far).alias("distance"))
-        choice = new if choice is None else F.when(new["slope"] > choice["slope"], new).otherwise(choice)
-    return seen.withColumn("best", choice).select(*cells.columns, F.col("best.receiver").alias("receiver"), F.when(F.col("best.receiver").isNotNull(), F.col("best.distance")).alias("distance"))
+        options.append(F.when(slope > 0, F.struct(slope.alias("slope"), F.lit(-rank).alias("rank"), F.col(f"cell_id_{name}").alias("receiver"), F.lit(far).alias("distance"))))
+    # The steepest, of equal ones the first in order.
+    best = F.array_max(F.array_compact(F.array(*options)))
+    return seen.withColumn("best", best).select(*cells.columns, F.col("best.receiver").alias("receiver"), F.col("best.distance").alias("distance"))
 
 
 def direction_code(cols: Column, cell_id: Column, receiver: Column, scheme: str = "d4") -> Column:
@@ -85,11 +86,17 @@ def slope_degrees(cells: DataFrame, z: str = "z", dx: float = 30.0, dy: float =
 
 
 def local_relief(cells: DataFrame, z: str, radius: int) -> DataFrame:
-    """Add ``relief``: highest minus lowest value in a square window, cut at the extent. Rows first, then columns."""
-    across = Window.partitionBy("row").orderBy("col").rangeBetween(-radius, radius)
-    along = Window.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
-    once = cells.withColumns({"_hi": F.max(z).over(across), "_lo": F.min(z).over(across)})
-    return once.withColumn("relief", F.max("_hi").over(along) - F.min("_lo").over(along)).drop("_hi", "_lo")
+    """Add ``relief``: highest minus lowest value in a square window, cut at the extent.
+
+    Rows come first: a cell sends its value along its row, also to places without a cell, so the windows along columns
+    that follow miss nothing.
+    """
+    own = F.when(F.col("_d") == 0, F.struct(*cells.columns))
+    sent = cells.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).select("row", (F.col("col") + F.col("_d")).alias("_c"), F.col(z).alias("_z"), own.alias("_own"))
+    across = sent.groupBy("row", "_c").agg(F.max("_z").alias("_hi"), F.min("_z").alias("_lo"), F.max("_own").alias("_own"))
+    along = Window.partitionBy("_c").orderBy("row").rangeBetween(-radius, radius)
+    out = across.withColumn("relief", F.max("_hi").over(along) - F.min("_lo").over(along)).where("_own is not null")
+    return out.select("_own.*", "relief")
 
 
 def zone_boundary(cells: DataFrame, zone: str = "zone") -> DataFrame:

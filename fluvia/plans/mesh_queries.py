@@ -9,6 +9,9 @@ from fluvia.plans import bridge
 from fluvia.plans.bridge import CELL_M, CELLS_SQL, OVERLAP_SQL, order_cells, read
 from fluvia.plans.registry import Registry, r6
 
+#: Inputs are scaled by an irrational factor, so rounded results have no ties.
+_ROOT = 2.0**0.5
+
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
 
@@ -17,10 +20,10 @@ def _areas(over):
     return over.groupBy("mesh_index").agg(F.sum("area_m2").alias("mesh_area_m2")), over.groupBy("raster_index").agg(F.sum("area_m2").alias("raster_area_m2"))
 
 
-@_R.query(f"WITH {OVERLAP_SQL} SELECT mesh_index, round(sum(area_m2 / mesh_area_m2 * p_retailprice), 6) AS value FROM overlap JOIN mesh USING (mesh_index) JOIN part ON p_partkey = raster_index GROUP BY ALL")
+@_R.query(f"WITH {OVERLAP_SQL} SELECT mesh_index, round(sum(area_m2 / mesh_area_m2 * (p_retailprice * sqrt(2.0::DOUBLE))), 6) AS value FROM overlap JOIN mesh USING (mesh_index) JOIN part ON p_partkey = raster_index GROUP BY ALL")
 def raster_means_on_mesh(spark, sf_dir):
     over = bridge.overlap(spark, sf_dir)
-    raster = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("raster_index"), F.col("p_retailprice").alias("value"))
+    raster = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("raster_index"), (F.col("p_retailprice") * _ROOT).alias("value"))
     return overlap.mesh_means(over, _areas(over)[0], raster).select("mesh_index", F.round("value", 6).alias("value"))
 
 
@@ -35,10 +38,10 @@ def class_fractions_on_mesh(spark, sf_dir):
     return out.select("mesh_index", *[F.round(f"fraction_{k}", 6).alias(f"fraction_{k}") for k in range(3)])
 
 
-@_R.query(f"WITH {OVERLAP_SQL} SELECT raster_index, round(sum(area_m2 / raster_area_m2 * (o_totalprice / 1000)), 6) AS depth_m FROM overlap JOIN raster USING (raster_index) JOIN orders ON o_orderkey = mesh_index GROUP BY ALL")
+@_R.query(f"WITH {OVERLAP_SQL} SELECT raster_index, round(sum(area_m2 / raster_area_m2 * (o_totalprice / 1000 * sqrt(2.0::DOUBLE))), 6) AS depth_m FROM overlap JOIN raster USING (raster_index) JOIN orders ON o_orderkey = mesh_index GROUP BY ALL")
 def mesh_depths_on_raster(spark, sf_dir):
     over = bridge.overlap(spark, sf_dir)
-    depths = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mesh_index"), (F.col("o_totalprice") / 1000).alias("depth_m"))
+    depths = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mesh_index"), (F.col("o_totalprice") / 1000 * _ROOT).alias("depth_m"))
     return overlap.raster_depths(over, _areas(over)[1], depths).select("raster_index", F.round("depth_m", 6).alias("depth_m"))
 
 
@@ -52,19 +55,19 @@ def overlap_breaches(spark, sf_dir):
     return overlap.invalid_overlap(over, areas)
 
 
-_PATCHES = "patches AS (SELECT l_orderkey AS cell, l_quantity AS area_m2, l_extendedprice / 1000 AS z, CAST(l_partkey % 97 AS DOUBLE) AS x, CAST(l_suppkey % 31 AS DOUBLE) AS y FROM lineitem), plan AS (SELECT cell, sum(area_m2) AS plan_area_m2 FROM patches GROUP BY ALL)"
+_PATCHES = "patches AS (SELECT l_orderkey AS cell, l_quantity AS area_m2, l_extendedprice / 1000 * sqrt(2.0::DOUBLE) AS z, CAST(l_partkey % 97 AS DOUBLE) AS x, CAST(l_suppkey % 31 AS DOUBLE) AS y FROM lineitem), plan AS (SELECT cell, sum(area_m2) AS plan_area_m2 FROM patches GROUP BY ALL)"
 
 
 def _patches(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("cell"), F.col("l_quantity").alias("area_m2"), (F.col("l_extendedprice") / 1000).alias("z"), (F.col("l_partkey") % 97).cast("double").alias("x"), (F.col("l_suppkey") % 31).cast("double").alias("y")
+        F.col("l_orderkey").alias("cell"), F.col("l_quantity").alias("area_m2"), (F.col("l_extendedprice") / 1000 * _ROOT).alias("z"), (F.col("l_partkey") % 97).cast("double").alias("x"), (F.col("l_suppkey") % 31).cast("double").alias("y")
     )
 
 
 @_R.query(f"""
 WITH {_PATCHES}, c AS (SELECT cell, sum(area_m2 * x) / sum(area_m2) AS xc, sum(area_m2 * y) / sum(area_m2) AS yc, sum(area_m2 * z) / sum(area_m2) AS zc FROM patches GROUP BY ALL),
-m AS (SELECT cell, sum(CAST(area_m2 AS BIGINT) * CAST(round(z * 100000) AS BIGINT)) / (sum(area_m2) * 100000) AS zc, sum(area_m2 * (x - xc) ** 2) AS a, sum(area_m2 * (x - xc) * (y - yc)) AS b, sum(area_m2 * (y - yc) ** 2) AS c, sum(area_m2 * (x - xc) * (z - c.zc)) AS p, sum(area_m2 * (y - yc) * (z - c.zc)) AS q, count(*) AS n FROM patches JOIN c USING (cell) GROUP BY ALL)
-SELECT cell, n, zc::DOUBLE AS mean_m, round(CASE WHEN abs(a * c - b * b) < 1e-12 * greatest(a * c, 1e-30) THEN 0.0 ELSE (p * c - q * b) / (a * c - b * b) END, 4) + 0.0 AS slope_x FROM m WHERE abs(a * c - b * b) < 1e-12 * greatest(a * c, 1e-30) OR abs(a * c - b * b) > 1e-6 * a * c
+m AS (SELECT cell, any_value(c.zc) AS zc, sum(area_m2 * (x - xc) ** 2) AS a, sum(area_m2 * (x - xc) * (y - yc)) AS b, sum(area_m2 * (y - yc) ** 2) AS c, sum(area_m2 * (x - xc) * (z - c.zc)) AS p, sum(area_m2 * (y - yc) * (z - c.zc)) AS q, count(*) AS n FROM patches JOIN c USING (cell) GROUP BY ALL)
+SELECT cell, n, round(zc, 6) AS mean_m, round(CASE WHEN abs(a * c - b * b) < 1e-12 * greatest(a * c, 1e-30) THEN 0.0 ELSE (p * c - q * b) / (a * c - b * b) END, 4) + 0.0 AS slope_x FROM m WHERE abs(a * c - b * b) < 1e-12 * greatest(a * c, 1e-30) OR abs(a * c - b * b) > 1e-6 * a * c
 """)
 def cell_bed_planes(spark, sf_dir):
     """Mean level and slope along x of each cell's plane, of cells whose patches clearly span one or clearly don't."""
@@ -73,11 +76,11 @@ def cell_bed_planes(spark, sf_dir):
     centre = rows.groupBy("cell").agg(mean("x").alias("xc"), mean("y").alias("yc"), mean("z").alias("zc"))
     both = rows.join(centre, "cell").withColumns({"dx": F.col("x") - F.col("xc"), "dy": F.col("y") - F.col("yc"), "dp": F.col("plane") - F.col("zc")})
     s = lambda a, b: F.sum(w * F.col(a) * F.col(b))
-    m = both.groupBy("cell").agg((F.sum(w.cast("long") * F.round(F.col("z") * 100000).cast("long")) / (F.sum(w) * 100000)).alias("zc"), F.count(F.lit(1)).alias("n"), s("dx", "dx").alias("a"), s("dx", "dy").alias("b"), s("dy", "dy").alias("c"), s("dx", "dp").alias("p"), s("dy", "dp").alias("q"))
+    m = both.groupBy("cell").agg(F.first("zc").alias("zc"), F.count(F.lit(1)).alias("n"), s("dx", "dx").alias("a"), s("dx", "dy").alias("b"), s("dy", "dy").alias("c"), s("dx", "dp").alias("p"), s("dy", "dp").alias("q"))
     det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
     flat, sure = F.abs(det) < 1e-12 * F.greatest(F.col("a") * F.col("c"), F.lit(1e-30)), F.abs(det) > 1e-6 * F.col("a") * F.col("c")
     slope = F.when(flat, 0.0).otherwise((F.col("p") * F.col("c") - F.col("q") * F.col("b")) / F.nullif(det, F.lit(0.0)))
-    return m.where(flat | sure).select("cell", "n", F.col("zc").alias("mean_m"), r6(slope, 4).alias("slope_x"))
+    return m.where(flat | sure).select("cell", "n", F.round("zc", 6).alias("mean_m"), r6(slope, 4).alias("slope_x"))
 
 
 _CURVES = f"""

@@ -32,6 +32,13 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt to at least two tasks a core before a costly kernel: by bytes alone its few rows would share a task."""
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *columns)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

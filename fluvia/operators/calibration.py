@@ -19,12 +19,13 @@ ROUNDS = 8
 WIDTH_BOUNDS, DEPTH_BOUNDS = (0.05, 1.20), (0.02, 1.20)
 
 
-def robust_fits(samples: DataFrame, area: str, target: str, by: list[str], min_samples: int, min_log10_range: float, bounds: tuple[float, float], max_mad: float, min_residual: float) -> DataFrame:
+def robust_fits(samples: DataFrame, area: str, target: str, by: list[str], min_samples: int | Column, min_log10_range: float, bounds: tuple[float | Column, float | Column], max_mad: float, min_residual: float) -> DataFrame:
     """For each group: coefficient, exponent, n_total, n_used, r2_log, rmse_log, mae_log, valid.
 
     Up to eight rounds of least squares on logarithms; a sample stays while its residual is within ``max_mad`` robust
     deviations (at least ``min_residual``) of the median. A group fails for too few samples, too small a range of areas or
-    an exponent out of bounds; its statistics are then null.
+    an exponent out of bounds; its statistics are then null. The least number of samples and the bounds may depend on the
+    columns of the group.
     """
     # Samples of no use leave their group in the result, with no fit.
     good = F.coalesce((F.col(area) > 0) & (F.col(target) > 0), F.lit(False))
@@ -41,8 +42,9 @@ def robust_fits(samples: DataFrame, area: str, target: str, by: list[str], min_s
     done = None
     for step in range(ROUNDS):
         fit = settled(line(rows))
-        short = fit.where(F.col("n_used") < min_samples).select(*by, "n_used", F.lit(None).cast("double").alias("slope"), F.lit(None).cast("double").alias("intercept"))
-        rated = back(rows, fit.where(F.col("n_used") >= min_samples)).withColumn("e", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
+        enough = F.col("n_used") >= min_samples
+        short = fit.where(~enough).select(*by, "n_used", F.lit(None).cast("double").alias("slope"), F.lit(None).cast("double").alias("intercept"))
+        rated = back(rows, fit.where(enough)).withColumn("e", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
         middle = rated.where("keep").groupBy(*by).agg(F.percentile("e", 0.5).alias("med"))
         centred = back(rated, middle).withColumn("off", F.abs(F.col("e") - F.col("med")))
         spread = centred.where("keep").groupBy(*by).agg(F.percentile("off", 0.5).alias("mad"))
@@ -87,21 +89,28 @@ def fit_zones(samples: DataFrame, min_samples: int = 30, min_log10_range: float
     training = settled(samples.where(chosen))
     n = training.count()
     least = max(min_samples, 50) if n >= 50 else min_samples
-    targets = {"width": ("lin_width_m", WIDTH_BOUNDS), "depth": ("lin_depth_m", DEPTH_BOUNDS)}
-    fits = {k: robust_fits(training, "fit_area_km2", t, [], least, min_log10_range, b, max_mad, min_residual).first() for k, (t, b) in targets.items()}
-    if not all(f is not None and f["valid"] for f in fits.values()):
+    # Both targets of every zone, and of all zones as zone -1, are groups of one fit.
+    value = lambda k, c: F.struct(F.lit(k).alias("target"), F.col(c).alias("value"))
+    zone = F.array(F.lit(-1).cast("long"), F.when(F.col("zone_id") > 0, F.col("zone_id").cast("long")))
+    stacked = training.select("fit_area_km2", F.array_compact(zone).alias("_z"), F.explode(F.array(value("width", "lin_width_m"), value("depth", "lin_depth_m"))).alias("t"))
+    stacked = stacked.select("fit_area_km2", "t.target", "t.value", F.explode("_z").alias("zone"))
+    wide = F.col("target") == "width"
+    bounds = F.when(wide, WIDTH_BOUNDS[0]).otherwise(DEPTH_BOUNDS[0]), F.when(wide, WIDTH_BOUNDS[1]).otherwise(DEPTH_BOUNDS[1])
+    all_fits = settled(robust_fits(stacked, "fit_area_km2", "value", ["target", "zone"], F.when(F.col("zone") < 0, least).otherwise(min_samples), min_log10_range, bounds, max_mad, min_residual))
+    fits = {r["target"]: r for r in all_fits.where("zone < 0").collect()}
+    if not all(k in fits and fits[k]["valid"] for k in ("width", "depth")):
         raise RuntimeError("the global fit failed: relax the filters or check the samples")
     good = samples.where("calibration_valid and zone_id > 0")
     zones = good.groupBy("zone_id").agg(F.count(F.lit(1)).cast("int").alias("calibration_samples"), F.count_if(train if train is not None else F.lit(True)).cast("int").alias("train_samples"))
-    for k, (t, b) in targets.items():
-        local = robust_fits(training.where("zone_id > 0"), "fit_area_km2", t, ["zone_id"], min_samples, min_log10_range, b, max_mad, min_residual)
-        zones = zones.join(local.select("zone_id", *[F.col(c).alias(f"{k}_{c}") for c in ("coefficient", "exponent", "n_total", "n_used", "r2_log", "rmse_log", "valid")]), "zone_id", "left")
+    for k in ("width", "depth"):
+        local = all_fits.where((F.col("zone") > 0) & (F.col("target") == k))
+        zones = zones.join(local.select(F.col("zone").alias("zone_id"), *[F.col(c).alias(f"{k}_{c}") for c in ("coefficient", "exponent", "n_total", "n_used", "r2_log", "rmse_log", "valid")]), "zone_id", "left")
     local = F.coalesce(F.col("width_valid") & F.col("depth_valid"), F.lit(False))
     pick = lambda k, c: F.when(local, F.col(f"{k}_{c}")).otherwise(F.lit(fits[k][c]))
     table = zones.select(
         "zone_id", "calibration_samples", "train_samples", local.alias("local_fit_valid"), F.when(local, 0).otherwise(1).alias("fallback_level"),
         pick("width", "coefficient").alias("beta_1"), pick("width", "exponent").alias("beta_2"), pick("depth", "coefficient").alias("alfa_1"), pick("depth", "exponent").alias("alfa_2"),
-        *[F.coalesce(f"{k}_{c}", F.lit(0)).alias(f"{k}_{c}") if c.startswith("n_") else F.col(f"{k}_{c}") for k in targets for c in ("n_total", "n_used", "r2_log", "rmse_log")],
+        *[F.coalesce(f"{k}_{c}", F.lit(0)).alias(f"{k}_{c}") if c.startswith("n_") else F.col(f"{k}_{c}") for k in ("width", "depth") for c in ("n_total", "n_used", "r2_log", "rmse_log")],
     )
     return table, {k: f.asDict() for k, f in fits.items()}
 

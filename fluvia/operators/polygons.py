@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvia.functions.session import ship_package
+from fluvia.functions.tables import spread
 
 OVERLAP_SCHEMA = "mesh_index long, raster_index long, area_m2 double"
 
@@ -83,7 +84,7 @@ def raster_overlap(polygons: DataFrame, x0: float, y0: float, dx: float, dy: flo
                 out += [(face, i, a) for i, a in found.items() if a > dx * dy * least_share]
             yield pd.DataFrame(out, columns=["mesh_index", "raster_index", "area_m2"])
 
-    return shapes.mapInPandas(run, OVERLAP_SCHEMA)
+    return spread(shapes, "face_id").mapInPandas(run, OVERLAP_SCHEMA)
 
 
 def voronoi_cell(seed: np.ndarray, others: np.ndarray, domain: np.ndarray) -> tuple[np.ndarray, float]:

@@ -37,6 +37,8 @@ _SLOTS = 16
 
 def compress(ids: np.ndarray, doc_lengths: np.ndarray, rounds: int = ROUNDS) -> bytes:
     """A block's bytes. ``ids``: of all its documents, each below 65536; ``doc_lengths``: ids of each document."""
+    if rounds * ROUND_RULES >= FIRST_RULE:
+        raise ValueError("too many rounds for a symbol's 17 bits")
     seq = ids.astype(np.uint32)
     begins = np.zeros(len(seq) + 1, bool)
     begins[np.concatenate([[0], np.cumsum(doc_lengths)])] = True
@@ -104,7 +106,7 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, rounds: int = ROUNDS) ->
 
 
 class Block:
-    """A block read back; rules beyond 65536 of them are refused by the writer's block size."""
+    """A block read back. The writer's rounds make far fewer than 65536 rules, so a symbol takes 17 bits."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -227,8 +229,6 @@ def _read(spark, folder: str, with_ids: bool) -> DataFrame:
         before.append((part, base))
         base += n
     offsets = spark.createDataFrame(before, "part int, base long")
-    # A row is some hundred kilobytes: few of them make a batch.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     rows = blocks.mapInArrow(per_batch(run), "part int, doc_id long, rel long, n_tokens long, ids_crc32 long, ids array<int>")
     out = rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32", "ids")
     return out if with_ids else out.drop("ids")

@@ -49,6 +49,19 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert got == {i: (least[i], links[i]) for i in range(len(texts))}
 
 
+def test_prefix_is_shortened_until_the_recall_holds():
+    depth = lsh_forest.prefix_length()
+    assert lsh_forest.expected_recall(0.8, depth) >= lsh_forest.RECALL > lsh_forest.expected_recall(0.8, depth + 1)
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, 300).astype(np.uint64) * 2
+        other = np.concatenate([base[33:], rng.integers(0, 1 << 63, 33).astype(np.uint64) * 2])
+        a, b = (lsh_forest.signature(np.sort(x)) for x in (base, other))
+        met += any(a[t : t + depth] == b[t : t + depth] for t in range(0, len(a), lsh_forest.DEPTH))
+    assert met >= 298
+
+
 def test_join_edge_rows(spark):
     df = spark.createDataFrame([(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (9, "A b c d e f G"), (7, None)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["class_id"], r["n_links"]) for r in lsh_forest.jaccard_classes(df).collect())
@@ -138,6 +151,18 @@ def test_tree_matching_is_largest():
     assert wrapper.matched(a[1:2], b[1:2]) == []
 
 
+def test_deep_pages_of_differing_layouts_merge_quickly():
+    """Each level differs by a sibling, so every level is matched by the full rule."""
+    page = lambda k: "".join(f"<div><{'ul' if d % 2 == k else 'ol'}></{'ul' if d % 2 == k else 'ol'}><p>{k}" for d in range(50))
+    own = wrapper._page_wrapper(wrapper.parse(page(0)))
+    for k in (1, 0, 1):
+        own = wrapper.merged(own, wrapper._page_wrapper(wrapper.parse(page(k))))
+    depth, node = 0, own
+    while node[wrapper._CHILDREN]:
+        node, depth = next((c for c in node[wrapper._CHILDREN] if c[0] == "div"), node[wrapper._CHILDREN][-1]), depth + 1
+    assert depth >= 50
+
+
 @pytest.mark.parametrize("sent", [1 << 30, 0])
 def test_wrappers_drop_what_a_host_repeats(spark, monkeypatch, sent):
     monkeypatch.setattr(wrapper, "SENT_BYTES", sent)

@@ -29,7 +29,7 @@ DIMENSIONS, CENTROIDS, SAMPLE, ROUNDS = 4096, 4, 600, 8
 #: A text of fewer trigrams is judged by its language alone, never by its distance.
 LEAST_GRAMS = 30
 #: A centroid's bound is this part of the cosine that 99 % of its sample exceed.
-SLACK = 0.5
+SLACK = 0.3
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[65:91] = np.arange(97, 123)

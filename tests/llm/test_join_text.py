@@ -177,3 +177,22 @@ def test_wrappers_drop_what_a_host_repeats(spark, monkeypatch, sent):
     assert got[20] == "Head 1 One 1 & two Threefour five Always the same line"
     assert (got[40], got[41], got[42], got[None]) == (wrapper.extract(PAGE.format(3)), "", "", "n")
     assert wrapper.main_texts(df.where("false")).count() == 0
+
+
+def test_constant_siblings_of_one_label_are_template(spark):
+    """Paragraphs and divs without classes: what a host repeats goes, whatever the number of its siblings."""
+    story = lambda i: "".join(f"<p>Line {k} of {i}</p>" for k in range(1 + i % 4))
+    inside = lambda i: f"<article><h1>Head {i}</h1>{story(i)}<p>Read <a href=x>our terms</a></p></article>"
+    around = lambda i: f"<body><div>Home</div>{'<div>Extra %d</div>' % i if i % 3 == 0 else ''}<div id=c{i}>{story(i)}</div><div><p>All rights kept</p></div>"
+    rows = [(i, "http://a.example/", inside(i)) for i in range(12)] + [(100 + i, "http://b.example/", around(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(df).collect()}
+    for i in range(12):
+        lines = " ".join(f"Line {k} of {i}" for k in range(1 + i % 4))
+        assert got[i] == f"Head {i} {lines}"
+        assert got[100 + i] == (f"Extra {i} " if i % 3 == 0 else "") + lines
+    own = wrapper._page_wrapper(wrapper.parse(inside(3)))
+    for i in range(200):
+        own = wrapper.merged(own, wrapper._page_wrapper(wrapper.parse(inside(i))))
+    article = own[wrapper._CHILDREN][0]
+    assert [c[wrapper._LABEL] for c in article[wrapper._CHILDREN]] == ["h1", "p", "p"]

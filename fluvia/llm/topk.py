@@ -5,8 +5,9 @@ component) in turn scatters its query weights times its postings into a dense ar
 of each row are selected by partition, and the blocks' lists are merged per query.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a
-null id; missing trailing components count as zero; rows with equal ids are rows of their own, but a row is no
-candidate of a query with its id; fewer than k candidates give as many ranks; other columns are ignored.
+null id; missing trailing components count as zero; rows with equal ids are rows of their own, as candidates and
+as queries, whose candidates are ranked together under their id; a row is no candidate of a query with its id;
+fewer than k candidates give as many ranks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,4 +83,4 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embe
 
     found = queries.select(*candidates.columns).unionByName(candidates).groupBy("qb", "cb").applyInPandas(best, "query_id long, copy long, vec_id long, score long")
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(over).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(over).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

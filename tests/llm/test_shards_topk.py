@@ -1,11 +1,13 @@
 import itertools
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluvia.llm import shards, topk
+from fluvia.llm import queries, shards, topk
 
 
 def test_differencing_is_tight_and_whole():
@@ -57,3 +59,20 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     few = spark.createDataFrame([(0, [1.0]), (7, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") % 50 == 0, 5).collect()] == [(0, 1, 7, 256 * 512)]
     assert topk.top_k(few.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [(70, 3), (8192, 2048)])
+def test_top_k_with_repeated_ids_equals_sql(spark, monkeypatch, blocks):
+    monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
+    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(300)]
+    # The best candidate five times, one twice, one id on two vectors, and queries on equal and on two vectors.
+    rows += [(7, [0.75] * 6)] * 5 + [(8, [-0.75] * 6)] * 2 + [(9, [0.5, -0.75, 0.25, 0.5, -0.5, 0.75]), rows[50], (100, [-0.5] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    con = duckdb.connect()
+    con.register("given", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM given")
+    want = con.execute(queries.ORACLE_SQL["op10_exact_top_k"]).fetchall()
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 30

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluvia.llm.common import per_batch, stored
 from fluvia.llm.graph import components
@@ -213,6 +214,16 @@ def jaccard_classes(df: DataFrame, similarity: float = SIMILARITY, recall: float
     n_links: other documents of Jaccard similarity of at least ``similarity``, copies included.  class_id: the least
     doc_id among the documents that hang together over such links.
     """
+    signed, final = _classed(df, similarity, recall)
+    return (
+        signed.select("doc_id", "size", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
+        .join(final, "c", "left")
+        .select("doc_id", F.when(F.col("c").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    )
+
+
+def _classed(df: DataFrame, similarity: float, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c, size, sig of all rows; c, class_id, keeper, n_links of all classes): ``keeper`` is the class of the text that stands for its group."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(rows.mapInArrow(per_batch(_signatures), "doc_id long, c long, size int, sig binary"), "signatures")
     classes = stored(
@@ -250,27 +261,46 @@ def jaccard_classes(df: DataFrame, similarity: float = SIMILARITY, recall: float
     joined = components(checked.where("c <> root").select(F.col("c").alias("u"), F.col("root").alias("v")))
     info = classes.select("c", "first_id", "docs").join(links, "c", "left").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     info = stored(info, "class-info")
-    names = stored(info.groupBy("comp").agg(F.min("first_id").alias("class_id")), "class-names")
-    final = stored(info.join(names, "comp").select("c", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("n_links")), "classes-out")
-    return (
-        signed.select("doc_id", "size", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
-        .join(final, "c", "left")
-        .select("doc_id", F.when(F.col("c").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
+    names = stored(info.groupBy("comp").agg(F.min(F.struct("first_id", "c")).alias("of")), "class-names")
+    of = [F.col("of.first_id").alias("class_id"), F.col("of.c").alias("keeper")]
+    final = stored(info.join(names, "comp").select("c", *of, (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("n_links")), "classes-out")
+    return signed, final
 
 
 def keep_one(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of ``df`` without those whose class has a document of lesser id; of rows with one id that is linked, one stays."""
-    found = stored(jaccard_classes(df, similarity).where("doc_id <> class_id or n_links > 0"), "kept")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    repeated = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if gone.count() <= 4 * SENT_MEMBERS:
-        gone = F.broadcast(gone)
-    left = df.join(gone, "doc_id", "left_anti")
-    if repeated.limit(1).count():
-        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return left.select(*df.columns)
+    """One row of ``df`` for each group of linked texts, that of least id; a null id is linked only to null ids of the same text.
+
+    Rows are told apart by id where it stands on one row, and by id and text where it stands on more.
+    """
+    signed, final = _classed(df, similarity)
+    named = signed.where("doc_id is not null").select("doc_id", F.when(F.col("size") > 0, F.col("c")).alias("c")).join(final, "c", "left")
+    other = F.coalesce((F.col("doc_id") != F.col("class_id")) | (F.col("c") != F.col("keeper")), F.lit(False))
+    touched = stored(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(other).alias("gone")).where("gone or n > 1"), "touched")
+    ids = touched.select("doc_id")
+    if ids.count() <= 4 * SENT_MEMBERS:
+        ids = F.broadcast(ids)
+    left = df.join(ids, "doc_id", "left_anti").select(*df.columns)
+    if touched.where("n > 1").limit(1).count():
+        rows = _numbered(df.join(touched.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*df.columns))
+        rows = rows.join(final.select(F.col("c").alias("_c"), "class_id", "keeper"), "_c", "left")
+        once = rows.where((F.col("doc_id") == F.col("class_id")) & (F.col("_c") == F.col("keeper"))).dropDuplicates(["doc_id", "_c"])
+        left = left.unionByName(rows.where("keeper is null").unionByName(once).select(*df.columns))
+    nameless = signed.where("doc_id is null and size > 0").groupBy("c").count().where("count > 1")
+    if nameless.limit(1).count():
+        rows = _numbered(left.where("doc_id is null"))
+        once = rows.where("_c is not null").dropDuplicates(["_c"]).unionByName(rows.where("_c is null"))
+        left = left.where("doc_id is not null").unionByName(once.select(*df.columns))
+    return left
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the class number of each text as ``_c``; null for a text without words."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = [canonical(t) for t in batch.column("text").to_pylist()]
+        return batch.append_column("_c", pa.array([class_number(d) if d else None for d in data], pa.int64()))
+
+    return df.mapInArrow(per_batch(run), T.StructType([*df.schema, T.StructField("_c", T.LongType())]))
 
 
 def expected_recall(similarity: float, depth: int) -> float:

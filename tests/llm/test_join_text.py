@@ -70,6 +70,19 @@ def test_join_edge_rows(spark):
     assert sorted(str(r["doc_id"]) for r in lsh_forest.keep_one(df).collect()) == ["5", "7", "None"]
 
 
+def test_keep_one_decides_by_row(spark):
+    """Ids on several texts and null ids: one row of each group stays, and every unique text."""
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    near = lambda k: words(k) + " more"
+    rows = [(1, words("a")), (2, near("a")), (2, words("b")), (2, None), (2, ""), (3, words("c")), (3, near("c")), (4, near("c") + " yet"), (5, words("d")), (5, words("d")), (5, words("e"))]
+    rows += [(None, words("f")), (None, words("f").upper()), (None, words("g")), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in lsh_forest.keep_one(df).collect()]
+    assert len([g for g in got if g[0] == 3]) == 1 and 4 not in {d for d, _ in got}
+    want = [(1, words("a")), (2, words("b")), (2, ""), (2, ""), (5, words("d")), (5, words("e")), (None, words("f")), (None, words("g")), (None, ""), (None, "")]
+    assert sorted(map(str, (g for g in got if g[0] != 3))) == sorted(map(str, want))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "u long, v long")
     got = {r["node"]: r["comp"] for r in graph.components(edges).collect()}

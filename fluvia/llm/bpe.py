@@ -3,7 +3,8 @@
 A gear hash over the text's bytes cuts it where its content says so, wherever the passage stands, so a
 passage that several documents share falls into the same chunks.  A worker encodes a chunk once and keeps
 its ids under the chunk's bytes.  A cut may part a word: the words at both sides of a join are encoded again
-as one, and the join widens over chunks without white space until both sides agree at a white space.
+as one, and the join widens over chunks without white space until both sides agree at a white space, which no
+pre-token of such a tokenizer crosses.
 No shuffle is needed, memory is bounded by ``CHUNK_CACHE_BYTES``, and a lost task repeats alone.
 
 Defined cases: a null text counts as empty; an empty text has no ids; rows with equal ids are separate rows;
@@ -60,7 +61,7 @@ class ChunkCoder:
     def __init__(self, path: str):
         self.words: PieceMemo = memo(path)
         self.chunks: dict[bytes, tuple] = {}
-        self.held = 0
+        self.held = self.reused = 0
 
     def _parted(self, data: bytes) -> tuple:
         """(head, inner words, tail) of a chunk; the words are None for one without white space."""
@@ -72,35 +73,35 @@ class ChunkCoder:
         tail = "" if spaced[1] or not words else words.pop()
         return head, words, tail
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int, int, int]]:
-        """For each text its ids, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``, and its numbers of chunks, reused chunks and joins encoded again."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int, int]]:
+        """For each text its ids, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``, and its numbers of chunks and of joins encoded again."""
         if self.held > CHUNK_CACHE_BYTES:
             self.chunks.clear()
             self.held = 0
         known = self.chunks
         fresh: dict[bytes, tuple] = {}
-        laid: list[tuple[list[bytes], int]] = []
+        laid: list[list[bytes]] = []
         for text in texts:
             data = text.encode("utf-8", "surrogatepass")
-            last, row, reused = 0, [], 0
+            last, row = 0, []
             for end in cuts(data):
                 row.append(piece := data[last:end])
                 last = end
                 if piece in known or piece in fresh:
-                    reused += 1
+                    self.reused += 1
                 else:
                     fresh[piece] = self._parted(piece)
-            laid.append((row, reused))
+            laid.append(row)
         self.words.learn({w for _, words, _ in fresh.values() if words for w in words})
         for piece, (head, words, tail) in fresh.items():
             known[piece] = head, None if words is None else b"".join(map(self.words.__getitem__, words)), tail
             self.held += 2 * len(piece) + 300
-        parts: list[list[bytes | str]] = [self._joined(row) for row, _ in laid]
+        parts: list[list[bytes | str]] = [self._joined(row) for row in laid]
         self.words.learn({x for row in parts for x in row if isinstance(x, str)})
         take = self.words.__getitem__
         return [
-            (np.frombuffer(b"".join([take(x) if isinstance(x, str) else x for x in row]), "<u2"), len(chunks), reused, sum(isinstance(x, str) for x in row))
-            for row, (chunks, reused) in zip(parts, laid, strict=True)
+            (np.frombuffer(b"".join([take(x) if isinstance(x, str) else x for x in row]), "<u2"), len(chunks), sum(isinstance(x, str) for x in row))
+            for row, chunks in zip(parts, laid, strict=True)
         ]
 
     def _joined(self, row: list[bytes]) -> list[bytes | str]:
@@ -187,7 +188,7 @@ def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), *[pa.array(c, pa.int32()) for c in cols[3:]]],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chunks", "n_reused", "n_joins"],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chunks", "n_joins"],
         )
 
     rows = df.select("doc_id", "text")
@@ -197,7 +198,6 @@ def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
         T.StructField("n_chunks", T.IntegerType()),
-        T.StructField("n_reused", T.IntegerType()),
         T.StructField("n_joins", T.IntegerType()),
     ])
     return rows.mapInArrow(per_batch(run), schema)

@@ -51,6 +51,11 @@ def spaced_pieces(text: str) -> list[str] | None:
     return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
 
 
+def _stands_apart(letter: str) -> bool:
+    """Whether a mark behind this letter is a pre-token of its own, whatever the file's normaliser makes of the letter."""
+    return letter.isalpha() and letter < "\u0250" and len(letter.lower()) == 1
+
+
 class PieceMemo(dict):
     """piece -> ids as little-endian uint16 bytes.
 
@@ -77,7 +82,8 @@ class PieceMemo(dict):
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the pieces not known yet, in one call.
 
-        A full stop or comma after a letter is a pre-token of its own, so such a piece follows from its stem.
+        A full stop or comma after a letter that stays one letter in lower case is a pre-token of its own, so such a
+        piece follows from its stem.
         """
         if len(self) > MEMO_PIECES:
             self.old = dict(self)
@@ -90,7 +96,7 @@ class PieceMemo(dict):
                 self[p] = old[p]
             elif len(p) > MEMO_PIECE_CHARS:
                 continue
-            elif p[-1:] in self.points and p[-2:-1].isalpha():
+            elif p[-1:] in self.points and _stands_apart(p[-2:-1]):
                 pointed.append(p)
                 if (stem := p[:-1]) not in self:
                     new.append(stem)

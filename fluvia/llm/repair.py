@@ -1,9 +1,10 @@
 """Token ids as Re-Pair grammars: the library's binary file format for encoded documents.
 
-A block holds the ids of some hundreds of documents.  Round by round its most frequent neighbouring pairs
-become nonterminals; a pair never crosses a document's end, so each document stays addressable.  A block keeps
-the rules, the length that each rule expands to, and for each document where its symbols begin and how many
-ids they stand for, which is enough to expand one document without the others.
+A block is a shard of the file: the ids of some hundreds of documents with a grammar of their own.  Round by round
+the repeated neighbouring pairs become nonterminals, the more frequent before the less frequent where they overlap,
+until none of the block occurs ``LEAST_USE`` times (``compress(least_use=2)``: until no pair repeats).  A pair never crosses a document's end, so each document stays
+addressable.  A block keeps the rules, the length that each rule expands to, and for each document where its symbols
+begin and how many ids they stand for, which is enough to expand one document without the others.
 
 Blocks are rows of a Parquet table, in ascending document order, written by Spark's committer to a folder
 that all executors share.  A range partition holds consecutive documents; no task sees more than its range.
@@ -25,94 +26,123 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluvia.llm.common import per_batch, write_shared
-from fluvia.llm.tokenize import byte_level_ids
+from fluvia.llm.tokenize import byte_level_ids, spans
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 BLOCK_IDS = 1 << 18
-#: Grammar effort: rounds of replacement, new rules in a round, least use of a rule.
-ROUNDS, ROUND_RULES, LEAST_USE = 4, 3000, 8
+#: A pair becomes a rule while it occurs so often: a rule takes the room of three to four symbols, which a rarer pair does not give back. On
+#: documents of the check a block of 532664 bytes of ids takes 362267 bytes so, and 377866 if rules go on until no pair repeats (2).
+LEAST_USE = 4
 FIRST_RULE = 1 << 16
-_SLOTS = 16
-
-
-def compress(ids: np.ndarray, doc_lengths: np.ndarray, rounds: int = ROUNDS) -> bytes:
-    """A block's bytes. ``ids``: of all its documents, each below 65536; ``doc_lengths``: ids of each document."""
-    if rounds * ROUND_RULES >= FIRST_RULE:
-        raise ValueError("too many rounds for a symbol's 17 bits")
-    seq = ids.astype(np.uint32)
-    begins = np.zeros(len(seq) + 1, bool)
-    begins[np.concatenate([[0], np.cumsum(doc_lengths)])] = True
-    begins = begins[:-1] if len(seq) else begins[:0]
-    left, right, size = [], [], [np.ones(FIRST_RULE, np.uint32)]
-    sizes, known = size[0], FIRST_RULE
-    for _ in range(rounds):
-        if len(seq) < 2:
+#: Bits of a symbol, and two marks above them. A block of more than 900000 rules stops there.
+_SYMBOL, _LIVE, _LAST = np.uint32((1 << 20) - 1), np.uint32(1 << 20), np.uint32(1 << 21)
+
+
+def compress(ids: np.ndarray, doc_lengths: np.ndarray, least_use: int = LEAST_USE) -> bytes:
+    """A block's bytes. ``ids``: of all its documents, each below 65536; ``doc_lengths``: ids of each document; ``least_use``: 2 at least."""
+    # A symbol, and above it whether it ends a document and whether its pair with the next may still be repeated.
+    word = ids.astype(np.uint32)
+    ends = np.cumsum(doc_lengths)
+    word[ends[doc_lengths > 0] - 1] |= _LAST
+    left, right, rounds, known = [], [], [], FIRST_RULE
+    live = np.flatnonzero(word < _LAST)
+    while len(live):
+        bits = np.uint64(len(word).bit_length())
+        pair = (word[live] & _SYMBOL).astype(np.uint64) << np.uint64(20) | (word[live + 1] & _SYMBOL)
+        # Of overlapping places of one pair (a a a) the first, third, ... count.
+        follows = np.flatnonzero((pair[1:] == pair[:-1]) & (live[1:] == live[:-1] + 1)) + 1
+        even = slice(None)
+        if len(follows):
+            run = np.diff(follows, prepend=-1) != 1
+            even = np.ones(len(live), bool)
+            even[follows[(np.arange(len(follows)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0]] = False
+        if bits <= 24:
+            order = np.sort(pair[even] << bits | live[even].astype(np.uint64))
+            pair, at = order >> bits, order & ((np.uint64(1) << bits) - np.uint64(1))
+        else:
+            order = np.argsort(pair[even], kind="stable")
+            pair, at = pair[even][order], live[even][order]
+        edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        count = np.diff(np.append(edge, len(pair)))
+        often = count >= least_use
+        if not often.any():
             break
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        pair[begins[1:]] = 0xFFFFFFFFFFFFFFFF
-        order = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        count = np.diff(np.concatenate([edge, [len(order)]]))
-        kept = (count >= LEAST_USE) & (order[edge] != 0xFFFFFFFFFFFFFFFF)
-        keys, count = order[edge][kept], count[kept]
-        if not len(keys):
-            break
-        keys = keys[np.lexsort((keys, -count))][:ROUND_RULES]
-        # One slot a pair: of pairs that meet in a slot the most frequent has it this round.
-        slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        held = np.full(1 << _SLOTS, len(keys), np.int32)
-        at = slot(keys)
-        held[at[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        rank = held[slot(pair)]
-        rank[np.concatenate([keys, [0]]).astype(np.uint64)[rank] != pair] = len(keys)
-        # Where candidate pairs overlap the more frequent one wins, the left of equal ones.
-        far = np.array([len(keys)], np.int32)
-        chosen = (rank < len(keys)) & (rank < np.concatenate([far, rank[:-1]])) & (rank <= np.concatenate([rank[1:], far]))
-        used = np.bincount(rank[chosen], minlength=len(keys))
-        rules = np.flatnonzero(used >= 2)
+        keys = pair[edge[often]]
+        at = at[np.repeat(often, count)].astype(np.int64)
+        count = count[often]
+        by_use = np.argsort(-count, kind="stable")
+        rank_of = np.empty(len(keys), np.int32)
+        rank_of[by_use] = np.arange(len(keys), dtype=np.int32)
+        rank = np.full(len(word) + 1, len(keys), np.int32)
+        rank[at] = own = np.repeat(rank_of, count)
+        # Where places of different pairs overlap, the more frequent pair has them; so the most frequent one has all of its own.
+        chosen = (own < rank[at - 1]) & (own < rank[at + 1])
+        used = np.bincount(own[chosen], minlength=len(keys))
+        rules = np.flatnonzero(used >= 2)[: int(_SYMBOL) + 1 - known]
         if not len(rules):
             break
-        name = np.zeros(len(keys) + 1, np.uint32)
+        name = np.zeros(len(keys), np.uint32)
         name[rules] = np.arange(known, known + len(rules), dtype=np.uint32)
-        where = np.flatnonzero(chosen)
-        where = where[name[rank[where]] > 0]
-        new_left, new_right = (keys[rules] >> np.uint64(32)).astype(np.uint32), (keys[rules] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        left.append(new_left)
-        right.append(new_right)
-        sizes = np.concatenate([sizes, sizes[new_left] + sizes[new_right]])
+        made = keys[by_use[rules]]
+        left.append((made >> np.uint64(20)).astype(np.uint32))
+        right.append((made & np.uint64(_SYMBOL)).astype(np.uint32))
+        rounds.append(len(rules))
         known += len(rules)
-        seq[where] = name[rank[where]]
-        stay = np.ones(len(seq), bool)
+        symbol = name[own]
+        symbol[~chosen] = 0
+        replaced = symbol > 0
+        where = at[replaced]
+        # Only new pairs and pairs that occur often enough can do so later: all others lose places and never gain one.
+        word &= ~_LIVE
+        word[at] |= _LIVE
+        if len(follows):
+            twin = at[((word[at] ^ word[at + 1]) & _SYMBOL) == 0]
+            word[twin + 1] |= _LIVE
+        word[where[where > 0] - 1] |= _LIVE
+        word[where] = symbol[replaced] | _LIVE | (word[where + 1] & _LAST)
+        stay = np.ones(len(word), bool)
         stay[where + 1] = False
-        seq, begins = seq[stay], begins[stay]
-    symbols = np.flatnonzero(begins).astype("<u4")
-    none = np.empty(0, np.uint32)
-    # Empty documents own no symbol; they take the next one's place.
-    starts = np.zeros(len(doc_lengths), "<u4")
+        word = word[stay]
+        live = np.flatnonzero((word & (_LIVE | _LAST)) == _LIVE)
+    seq, last = word & _SYMBOL, (word & _LAST) > 0
+    # An empty document owns no symbol; it takes the next one's place.
     full = doc_lengths > 0
-    starts[full] = symbols
-    nxt = len(seq)
-    for i in np.flatnonzero(~full)[::-1]:
-        later = np.flatnonzero(full[i:])
-        starts[i] = starts[i + later[0]] if len(later) else nxt
-    head = np.array([known - FIRST_RULE, len(seq), len(doc_lengths)], "<u4").tobytes()
-    low = (seq & 0xFFFF).astype("<u2").tobytes()
-    high = np.packbits(seq >= FIRST_RULE).tobytes()
+    starts = np.concatenate([[0], np.flatnonzero(last) + 1])[np.cumsum(full) - full].astype("<u4")
+    none = np.empty(0, np.uint32)
+    left, right = np.concatenate([*left, none]), np.concatenate([*right, none])
+    planes = max(0, (known - 1).bit_length() - 16)
+    head = np.array([len(left), len(seq), len(doc_lengths), len(rounds), planes], "<u4").tobytes()
+    sizes = _rule_sizes(left, right, rounds)
+    wide = "<u2" if not len(sizes) or sizes.max() < 1 << 16 else "<u4"
     return b"".join([
-        MAGIC, head,
-        np.concatenate([*left, none]).astype("<u4").tobytes(), np.concatenate([*right, none]).astype("<u4").tobytes(),
-        sizes[FIRST_RULE:].astype("<u4").tobytes(), low, high, starts.tobytes(), doc_lengths.astype("<u4").tobytes(),
+        MAGIC, head, np.array(rounds, "<u4").tobytes(), wide.encode()[1:], sizes.astype(wide).tobytes(),
+        *(_packed(x, planes) for x in (left, right, seq)), starts.tobytes(), doc_lengths.astype("<u4").tobytes(),
     ])
 
 
+def _rule_sizes(left: np.ndarray, right: np.ndarray, rounds: list[int]) -> np.ndarray:
+    """Ids that each rule expands to; a rule's parts come from earlier rounds."""
+    sizes = np.ones(FIRST_RULE + len(left), np.int64)
+    at = 0
+    for n in rounds:
+        sizes[FIRST_RULE + at : FIRST_RULE + at + n] = sizes[left[at : at + n]] + sizes[right[at : at + n]]
+        at += n
+    return sizes[FIRST_RULE:]
+
+
+def _packed(symbols: np.ndarray, planes: int) -> bytes:
+    """The symbols' low 16 bits as they are, behind them planes of one bit each."""
+    return (symbols & 0xFFFF).astype("<u2").tobytes() + b"".join(np.packbits(symbols >> (16 + k) & 1).tobytes() for k in range(planes))
+
+
 class Block:
-    """A block read back. The writer's rounds make far fewer than 65536 rules, so a symbol takes 17 bits."""
+    """A block read back."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a block of this format")
-        rules, symbols, docs = np.frombuffer(data, "<u4", 3, 4).tolist()
-        at = 16
+        rules, symbols, docs, rounds, planes = np.frombuffer(data, "<u4", 5, 4).tolist()
+        at = 24
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -120,33 +150,40 @@ class Block:
             at += out.nbytes
             return out
 
-        self.left, self.right, self.sizes = take("<u4", rules), take("<u4", rules), take("<u4", rules)
-        low = take("<u2", symbols).astype(np.uint32)
-        high = np.unpackbits(take("u1", (symbols + 7) // 8), count=symbols).astype(np.uint32)
-        self.seq = low + high * np.uint32(FIRST_RULE)
+        def unpacked(n: int) -> np.ndarray:
+            out = take("<u2", n).astype(np.uint32)
+            for k in range(planes):
+                out |= np.unpackbits(take("u1", (n + 7) // 8), count=n).astype(np.uint32) << np.uint32(16 + k)
+            return out
+
+        self.rounds = take("<u4", rounds).tolist()
+        wide = "<" + take("u1", 2).tobytes().decode()
+        self.sizes = take(wide, rules).astype(np.int64)
+        self.left, self.right, self.seq = unpacked(rules), unpacked(rules), unpacked(symbols)
         self.starts, self.doc_lengths = take("<u4", docs), take("<u4", docs)
         self.flat, self.flat_at = self._expansions()
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """The rules' expansions one after another behind the plain ids, and where each begins."""
-        begins = FIRST_RULE + np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
-        flat = np.empty(int(begins[-1]), np.uint32)
+        begins = FIRST_RULE + np.cumsum(self.sizes) - self.sizes
+        flat = np.empty(FIRST_RULE + int(self.sizes.sum()), np.uint32)
         flat[:FIRST_RULE] = np.arange(FIRST_RULE)
-        at = np.concatenate([np.arange(FIRST_RULE), begins[:-1]])
+        at = np.concatenate([np.arange(FIRST_RULE), begins])
         size = np.concatenate([np.ones(FIRST_RULE, np.int64), self.sizes])
-        for r, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-            to, n = begins[r], size[a]
-            flat[to : to + n] = flat[at[a] : at[a] + n]
-            flat[to + n : begins[r + 1]] = flat[at[b] : at[b] + size[b]]
+        done = 0
+        for n in self.rounds:
+            parts = np.stack([self.left[done : done + n], self.right[done : done + n]], axis=1).ravel()
+            if n:
+                got = flat[spans(at[parts], size[parts])]
+                flat[begins[done] : begins[done] + len(got)] = got
+            done += n
         return flat, at
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         n = np.ones(len(seq), np.int64)
         rule = seq >= FIRST_RULE
         n[rule] = self.sizes[seq[rule] - FIRST_RULE]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(seq) else 0
-        return self.flat[np.arange(total) + np.repeat(self.flat_at[seq] - (ends - n), n)]
+        return self.flat[spans(self.flat_at[seq], n)]
 
     def ids(self) -> np.ndarray:
         """Ids of all documents of the block."""
@@ -171,8 +208,8 @@ def write_documents(df: DataFrame, path: str, end_id: int = 0, block_ids: int =
 
         def flush() -> pa.RecordBatch:
             nonlocal before, docs, ids, held
-            lengths = np.array([len(x) // 2 for x in ids], np.int64)
-            block = compress(np.frombuffer(b"".join(ids), "<u2"), lengths)
+            lengths = np.array([len(x) for x in ids], np.int64)
+            block = compress(np.concatenate(ids), lengths)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([block], pa.binary())],
                 ["part", "first_id", "n_ids", "doc_ids", "block"],
@@ -180,13 +217,13 @@ def write_documents(df: DataFrame, path: str, end_id: int = 0, block_ids: int =
             before, docs, ids, held = before + held, [], [], 0
             return row
 
-        end = np.array([end_id], "<u2").tobytes()
+        end = np.array([end_id], np.uint16)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, code in zip(batch.column("doc_id").to_pylist(), byte_level_ids(texts, path), strict=True):
                 docs.append(doc)
-                ids.append(code + end)
-                held += len(code) // 2 + 1
+                ids.append(np.concatenate([code, end]))
+                held += len(code) + 1
                 if held >= block_ids:
                     yield flush()
         if docs:

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fluvia.llm.common import per_batch
-from fluvia.llm.tokenize import PieceMemo, memo, token_texts, words_of
+from fluvia.llm.common import kept, per_batch
+from fluvia.llm.tokenize import PieceMemo, token_texts, words_of
 
 CHUNK_MIN, CHUNK_MAX, CHUNK_BITS = 256, 8192, 10
-CHUNK_CACHE_BYTES = 64 << 20
+CHUNK_CACHE_BYTES = 24 << 20
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = b" \n\t\r"
 
@@ -59,7 +59,7 @@ class ChunkCoder:
     """Encodes texts chunk by chunk with a tokenizer whose pre-tokens never cross white space."""
 
     def __init__(self, path: str):
-        self.words: PieceMemo = memo(path)
+        self.words = PieceMemo(path)
         self.chunks: dict[bytes, tuple] = {}
         self.held = self.reused = 0
 
@@ -126,13 +126,12 @@ class ChunkCoder:
 
 
 _SPACES = tuple(bytes([c]) for c in _SPACE)
-_coders: dict[str, ChunkCoder] = {}
-
-
 def coder(path: str) -> ChunkCoder:
-    if path not in _coders:
-        _coders[path] = ChunkCoder(path)
-    return _coders[path]
+    """This worker's coder for a tokenizer file."""
+    held = kept("bpe")
+    if path not in held:
+        held[path] = ChunkCoder(path)
+    return held[path]
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
@@ -156,7 +155,7 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", key: str = "d
 
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
     schema = T.StructType([rows.schema["key"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(per_batch(run), schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(per_batch(run, "bpe"), schema).withColumnRenamed("key", key)
 
 
 def decode_documents(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -168,7 +167,7 @@ def decode_documents(df: DataFrame, path: str, ids: str = "ids", key: str = "doc
 
     rows = df.select(df[key].alias("key"), df[ids].alias("ids"))
     schema = T.StructType([rows.schema["key"], T.StructField("text", T.StringType())])
-    return rows.mapInArrow(per_batch(run), schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(per_batch(run, "bpe"), schema).withColumnRenamed("key", key)
 
 
 def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
@@ -200,4 +199,4 @@ def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
         T.StructField("n_chunks", T.IntegerType()),
         T.StructField("n_joins", T.IntegerType()),
     ])
-    return rows.mapInArrow(per_batch(run), schema)
+    return rows.mapInArrow(per_batch(run, "bpe"), schema)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.functions.session import ship_package
+from fluvia.functions.tables import discard, settled, written
+
+__all__ = ["discard", "give_back", "held_out_remainder", "kept", "per_batch", "per_task", "prepare", "stored", "sum_vectors", "table", "vector_rows", "written"]
 
 #: Rows and bytes of one Arrow batch; a batch of very long texts must fit a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Give Python workers this package, and bound the Arrow batches that they receive."""
     ship_package(spark)
@@ -33,47 +31,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = tempfile.mkdtemp(prefix="fluvia-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: it cuts lineage and survives the loss of any executor."""
+    return settled(df, f"fluvia/{name}")
 
 
-def write_shared(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet below the shared folder and return the path.
+_kept: dict[str, dict] = {}
+_libc = ctypes.CDLL(None)
 
-    The table cuts lineage and survives the loss of any executor. It is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/fluvia/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return path
 
+def kept(owner: str) -> dict:
+    """What this worker keeps between tasks of one operator. What it kept for others goes, so a worker holds one operator's memory."""
+    for other in [n for n in _kept if n != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators of a reused worker would keep."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session is gone; the cluster's cleaner takes the folder
-            return
 
+def per_task(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """A ``mapInArrow`` function that leaves behind only what ``owner`` keeps."""
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(owner)
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
+def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], owner: str = "") -> Callable:
     """A ``mapInArrow`` function from one that maps batch to batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +73,7 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
             if batch.num_rows:
                 yield fn(batch)
 
-    return run
+    return per_task(run, owner)
 
 
 def vector_rows(vector: np.ndarray) -> pa.RecordBatch:

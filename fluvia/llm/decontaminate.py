@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluvia.llm.common import per_batch
+from fluvia.llm.common import kept, per_batch
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.05
@@ -140,15 +140,12 @@ def _batches(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int,
         yield batch
 
 
-_matchers: dict[int, tuple[object, Matcher]] = {}
-
-
 def _matcher(sent, rate: float) -> Matcher:
     """This worker's automaton for a broadcast batch of items."""
-    found = _matchers.get(0)
-    if found is None or found[0] != (sent.value[0], rate):
-        _matchers[0] = found = (sent.value[0], rate), Matcher(sent.value[1], rate)
-    return found[1]
+    held = kept("decontaminate")
+    if held.get("for") != (sent.value[0], rate):
+        held["for"], held["matcher"] = (sent.value[0], rate), Matcher(sent.value[1], rate)
+    return held["matcher"]
 
 
 def leaks(df: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
@@ -170,7 +167,7 @@ def leaks(df: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFram
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], schema.names)
 
-        part = rows.mapInArrow(per_batch(run), schema)
+        part = rows.mapInArrow(per_batch(run, "decontaminate"), schema)
         found = part if found is None else found.unionByName(part)
     return df.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -184,5 +181,5 @@ def keep_clean(df: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> Dat
             matcher = _matcher(sent, rate)
             return rows.filter(pa.array(np.array([not matcher.find(t) for t in rows.column("text").to_pylist()], bool)))
 
-        df = df.mapInArrow(per_batch(run), df.schema)
+        df = df.mapInArrow(per_batch(run, "decontaminate"), df.schema)
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import stored
+from fluvia.llm.common import discard, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -14,14 +14,15 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     A round takes each node's least neighbouring label, then the label of that label, so paths halve.
     """
     both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"), "labels")
+    labels = new = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"), "labels")
     for _ in range(max_rounds):
         seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("comp").alias("near"))
         nearer = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        nearer = stored(nearer, "labels")
+        old, nearer = new, stored(nearer, "labels")
         jump = nearer.select(F.col("node").alias("to"), F.col("comp").alias("root"))
         new = stored(nearer.join(jump, nearer["comp"] == jump["to"]).select("node", "was", F.col("root").alias("comp")), "labels")
         changed = new.where("was <> comp").limit(1).count()
+        discard(old, nearer)
         labels = new.select("node", "comp")
         if not changed:
             return labels

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fluvia.llm.common import per_batch
+from fluvia.llm.common import kept, per_batch
 
 MEMO_WORDS = 400_000
 #: Words of more bytes run alone; shorter ones run side by side.
@@ -159,13 +159,11 @@ class Counter(dict):
         return [sum(map(self.__getitem__, words)) for words in split]
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(Automaton(vocabulary(path)))
-    return _counters[path]
+    held = kept("longest match")
+    if path not in held:
+        held[path] = Counter(Automaton(vocabulary(path)))
+    return held[path]
 
 
 def token_counts(df: DataFrame, path: str) -> DataFrame:
@@ -178,4 +176,4 @@ def token_counts(df: DataFrame, path: str) -> DataFrame:
 
     rows = df.select("doc_id", "text")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(per_batch(run), schema)
+    return rows.mapInArrow(per_batch(run, "longest match"), schema)

@@ -1,14 +1,19 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 A document is the set of its five-word shingles (lower case, white space as one space; a shorter text is one
-shingle).  Equal texts fall into one class, and one of them stands for it.  Each tree of the forest sorts the
-classes by a string of MinHash bytes; two classes meet where their strings share a prefix.  From the full depth
-the matched prefix is shortened until a pair at the similarity threshold meets in some tree with the target
-recall.  Meeting only proposes: what hangs together over shared prefixes is verified exactly, pair by pair,
-with the shingle sets themselves.
-
-Nothing is listed pair by pair.  A prefix ties its classes to its least one; what hangs together is dealt into
-blocks by hash, a task compares two blocks as a matrix product, and returns one row a class: the documents
+shingle).  Equal texts fall into one class, and one of them stands for it.
+
+Each tree of the forest is a prefix trie, kept as what it is in sorted order: the classes in the order of their strings
+of MinHash bytes, where a class's longest match in the tree stands next to it.  A class begins at its longest match in
+every tree.  While the recall that its matches promise for a pair at the similarity threshold is below the target, its
+longer prefixes are shortened by one byte; so a class that few others match stops early, and one amid many near copies
+goes down to where the target holds whatever it matches.  Two classes meet in a tree if their common prefix is as long as
+the prefix of either.  The tries are sorted over range partitions, so a prefix that a third of the classes share spans
+many tasks, and a class is tied to its sorted neighbours only.
+
+Meeting only proposes: what hangs together over it is verified exactly with the shingle sets themselves.  A group of many
+classes is parted by set size, since sets that differ in size by more than the threshold cannot be near, and dealt
+into blocks by hash; a task compares two blocks as a matrix product and returns one row a class: the documents
 linked to it and the least class it hangs together with.  A large group thus takes many tasks of bounded size.
 
 Defined cases: a null text or one without words has no shingles and is linked to nothing, not even to its like;
@@ -24,17 +29,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluvia.llm.common import per_batch, stored
+from fluvia.llm.common import per_batch, per_task, stored
 from fluvia.llm.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 32, 10, 0.999
 #: Classes and shingles of one block at most, about.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 200_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 200_000
+#: Entries of a sorted trie that are looked through at once.
+TRIE_ROWS = 100_000
 #: Members of compared groups are sent to all executors up to this number; beyond it both sides are shuffled.
 SENT_MEMBERS = 500_000
 
@@ -92,13 +100,15 @@ def signature(own: np.ndarray) -> bytes:
     return (least >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """From full depth, the matched prefix shortened until a pair at ``similarity`` meets in a tree with probability ``recall``."""
+def log_miss(similarity: float, depth: int) -> float:
+    """Logarithm of the probability that a pair of this similarity has no common prefix of ``depth`` bytes in a tree."""
     same = similarity + (1 - similarity) / 256
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - same**depth) ** TREES < recall:
-        depth -= 1
-    return depth
+    return math.log1p(-(same**depth))
+
+
+def least_depth(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """The longest prefix that reaches the recall at ``similarity`` if all trees go down to it: no class need go deeper into the tries' roots."""
+    return max([d for d in range(1, DEPTH + 1) if TREES * log_miss(similarity, d) <= math.log(1 - recall)], default=1)
 
 
 def class_number(data: bytes) -> int:
@@ -208,6 +218,111 @@ def _verified(similarity: float, words: int):
     return run
 
 
+def _common(keys: list[bytes], trees: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each entry with the one before it; 0 for the first and across trees."""
+    k = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, DEPTH)
+    out = np.zeros(len(k), np.int64)
+    out[1:] = np.logical_and.accumulate(k[1:] == k[:-1], axis=1).sum(1) * (trees[1:] == trees[:-1])
+    return out
+
+
+def _sorted_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, bool, bool]]:
+    """(rows, whether the first, whether the last run) of a sorted partition; a run begins with the last row of the one before."""
+    held: list = []
+    first = True
+    for batch in batches:
+        held += zip(*[column.to_pylist() for column in batch.columns], strict=True)
+        if len(held) >= TRIE_ROWS:
+            yield held, first, False
+            held, first = held[-1:], False
+    if held:
+        yield held, first, True
+
+
+def _longest(least: int):
+    """A ``mapInArrow`` function over tree, key, c in sorted order: the entries with a match of ``least`` bytes, and its length.
+
+    What stands beyond the partition is not seen, so its ends count as matched in full.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = 0
+        for rows, first, last in _sorted_runs(batches):
+            trees, keys, numbers = zip(*rows, strict=True)
+            common = _common(list(keys), np.array(trees))
+            # Between two runs the last row of the one is the first of the other, and is given out by the other.
+            common[0] = DEPTH if first else ahead
+            longest = np.maximum(common, np.append(common[1:], DEPTH if last else 0))
+            ahead = int(common[-1]) if len(rows) > 1 else int(common[0])
+            take = np.flatnonzero(longest[: len(rows) if last else len(rows) - 1] >= least)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([trees[i] for i in take], pa.int32()), pa.array([keys[i] for i in take], pa.binary()), pa.array([numbers[i] for i in take], pa.int64()), pa.array(longest[take], pa.int32())],
+                ["tree", "key", "c", "longest"],
+            )
+
+    return run
+
+
+def _neighbours(least: int):
+    """A ``mapInArrow`` function over tree, key, c, stop in sorted order: u, v of classes that meet, as ties between sorted neighbours.
+
+    An entry's prefix is its longest match, shortened to ``stop``.  All entries below that prefix are tied to the next one.  The
+    ends of the partition come out as rows with ``part``; ties across the ends of a run are made on suspicion.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for rows, first, last in _sorted_runs(batches):
+            trees, keys, numbers, stops = zip(*rows, strict=True)
+            common = _common(list(keys), np.array(trees))
+            longest = np.maximum(common, np.append(common[1:], 0))
+            depth = np.maximum(np.minimum(longest, np.array(stops)), least)
+            tied = np.zeros(len(rows), bool)
+            for d in range(least, DEPTH + 1):
+                node = np.cumsum(common < d) - 1
+                sought = np.bincount(node[depth == d], minlength=node[-1] + 1) > 0
+                # What else lies below a node at the end of a run is not seen here.
+                sought[[0, -1]] = True
+                tied |= (common >= d) & sought[node]
+            at = np.flatnonzero(tied)
+            yield _ties([numbers[i - 1] for i in at], [numbers[i] for i in at])
+            for end, i in [(0, 0)] * first + [(1, len(rows) - 1)] * last:
+                yield _ties([numbers[i]], [None], [2 * part + end], [trees[i]], [keys[i]])
+
+    def _ties(u: list, v: list, part: list | None = None, tree: list | None = None, key: list | None = None) -> pa.RecordBatch:
+        none = [None] * len(u)
+        columns = pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(part or none, pa.int64()), pa.array(tree or none, pa.int32()), pa.array(key or none, pa.binary())
+        return pa.RecordBatch.from_arrays(list(columns), ["u", "v", "part", "tree", "key"])
+
+    return run
+
+
+def met_classes(classes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """u, v: ties that join all classes (``c, sig``) that meet in the forest."""
+    least = least_depth(similarity, recall)
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * DEPTH + 1, DEPTH))
+    entries = classes.select("c", F.posexplode(trees).alias("tree", "key")).select("tree", "key", "c")
+    tries = entries.repartitionByRange("tree", "key", "c").sortWithinPartitions("tree", "key", "c")
+    matched = stored(tries.mapInArrow(per_task(_longest(least)), "tree int, key binary, c long, longest int"), "matches")
+    # Each class's stop: the longest at which its prefixes, shortened to it, promise the recall.
+    deeper = range(least + 1, DEPTH + 1)
+    counts = matched.groupBy("c").agg(*[F.count_if(F.col("longest") >= d).alias(f"n{d}") for d in deeper])
+    promise, stop = F.lit(TREES * log_miss(similarity, least)), F.lit(least)
+    for d in deeper:
+        promise = promise + F.col(f"n{d}") * (log_miss(similarity, d) - log_miss(similarity, d - 1))
+        stop = F.when(promise <= math.log(1 - recall), F.lit(d)).otherwise(stop)
+    stops = counts.select("c", stop.alias("stop"))
+    sought = matched.select("tree", "key", "c").join(stops, "c").select("tree", "key", "c", "stop")
+    ties = stored(
+        sought.repartitionByRange("tree", "key", "c").sortWithinPartitions("tree", "key", "c").mapInArrow(per_task(_neighbours(least)), "u long, v long, part long, tree int, key binary"), "ties"
+    )
+    # Two rows a partition.
+    ends = sorted((r["part"], r["tree"], bytes(r["key"]), r["u"]) for r in ties.where("part is not null").collect())
+    across = [(a[3], b[3]) for a, b in zip(ends, ends[1:], strict=False) if a[0] % 2 == 1 and a[1] == b[1] and a[2][:least] == b[2][:least]]
+    inside = ties.where("part is null").select("u", "v")
+    return inside.unionByName(classes.sparkSession.createDataFrame(across, "u long, v long")) if across else inside
+
+
 def jaccard_classes(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links of every row of ``doc_id, text``.
 
@@ -222,6 +337,15 @@ def jaccard_classes(df: DataFrame, similarity: float = SIMILARITY, recall: float
     )
 
 
+_BANDS = 1 << 32
+
+
+def _blocks_of(band: Column) -> Column:
+    """Numbers of all blocks of a band of the group; none for a band without classes."""
+    blocks = F.col("blocks")[band]
+    return F.when(blocks.isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: band * _BANDS + b))
+
+
 def _classed(df: DataFrame, similarity: float, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c, size, sig of all rows; c, class_id, keeper, n_links of all classes): ``keeper`` is the class of the text that stands for its group."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -230,31 +354,29 @@ def _classed(df: DataFrame, similarity: float, recall: float = RECALL) -> tuple[
         signed.where("size > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("docs"), F.max("size").alias("size"), F.first("sig").alias("sig")),
         "classes",
     )
-    depth = prefix_length(similarity, recall)
-    met = classes.select("c", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * DEPTH + 1, depth))).alias("tree", "prefix")).select(
-        "c", F.xxhash64("tree", "prefix").alias("h")
-    )
-    leasts = stored(met.groupBy("h").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "least"), "prefixes")
-    # A class meets at most one least class a tree; its own least one ties it to all of them with few distinct edges.
-    tied = stored(met.join(leasts, "h").groupBy("c").agg(F.min("least").alias("v"), F.collect_set("least").alias("others")), "tied")
-    edges = tied.select(F.col("c").alias("u"), "v").unionByName(tied.select(F.explode("others").alias("u"), "v").distinct()).where("u <> v")
-    groups = components(edges).select(F.col("node").alias("c"), "comp")
+    groups = components(met_classes(classes, similarity, recall)).select(F.col("node").alias("c"), "comp")
     member = stored(groups.join(classes.drop("sig"), "c"), "members")
-    sizes = member.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
-    sizes = stored(
-        sizes.select("comp", F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")), "group-sizes"
-    )
-    dealt = stored(member.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")), "dealt")
+    # Sets in bands of size that are not next to each other differ by more than the threshold; a small group is one band.
+    many = member.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    many = many.select("comp", ((F.col("n") > BLOCK_CLASSES) | (F.col("shingles") > BLOCK_SHINGLES)).alias("many"))
+    band = F.when(F.col("many"), F.floor(F.log("size") / -math.log(similarity) + 1e-9)).otherwise(0).cast("int")
+    banded = stored(member.join(many, "comp").select("comp", "c", "docs", "first_id", "size", band.alias("band")), "banded")
+    sizes = banded.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+    # At most a hundred bands a group.
+    sizes = stored(sizes.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")), "group-sizes")
+    own = F.col("band") * _BANDS + F.pmod(F.xxhash64("c"), F.col("blocks")[F.col("band")])
+    near = F.flatten(F.transform(F.array(*[F.col("band") + k for k in (-1, 0, 1)]), _blocks_of))
+    dealt = stored(banded.join(sizes, "comp").select("comp", "c", "docs", "first_id", own.alias("block"), near.alias("others")), "dealt")
     texts = rows.where("doc_id is not null")
     if dealt.count() <= SENT_MEMBERS:
         found = texts.join(F.broadcast(dealt), texts["doc_id"] == dealt["first_id"])
     else:
         found = texts.join(dealt.hint("shuffle_hash"), texts["doc_id"] == dealt["first_id"])
-    keyed = found.select("comp", "c", "docs", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    keyed = found.select("comp", "c", "docs", "block", "text", F.explode("others").alias("other")).select(
         "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "c", "docs", "block", "text"
     )
     checked = stored(
-        keyed.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(_verified(similarity, WORDS), "c long, linked long, classes long, root long"),
+        keyed.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(per_task(_verified(similarity, WORDS)), "c long, linked long, classes long, root long"),
         "links",
     )
     links = checked.groupBy("c").agg(F.sum("linked").alias("linked"))
@@ -301,9 +423,3 @@ def _numbered(df: DataFrame) -> DataFrame:
         return batch.append_column("_c", pa.array([class_number(d) if d else None for d in data], pa.int64()))
 
     return df.mapInArrow(per_batch(run), T.StructType([*df.schema, T.StructField("_c", T.LongType())]))
-
-
-def expected_recall(similarity: float, depth: int) -> float:
-    """Probability that a pair of this similarity meets in some tree."""
-    same = similarity + (1 - similarity) / 256
-    return -math.expm1(TREES * math.log1p(-(same**depth)))

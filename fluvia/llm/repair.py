@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluvia.llm.common import per_batch, write_shared
+from fluvia.llm.common import per_batch, per_task, written
 from fluvia.llm.tokenize import byte_level_ids, spans
 
 MAGIC = b"RPG2"
@@ -231,7 +231,7 @@ def write_documents(df: DataFrame, path: str, end_id: int = 0, block_ids: int =
 
     schema = "part int, first_id long, n_ids long, doc_ids array<long>, block binary"
     ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return write_shared(ordered.mapInArrow(run, schema), "token-ids")
+    return written(ordered.mapInArrow(per_task(run, "token files"), schema), "fluvia/token-ids")
 
 
 def read_documents(spark, folder: str) -> DataFrame:

@@ -14,11 +14,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from fluvia.llm.common import kept
+
 #: White space to Unicode other than space and line feed: fixed values.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 MEMO_PIECE_CHARS = 64
 
 
@@ -112,16 +114,6 @@ class PieceMemo(dict):
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_memos: dict[str, PieceMemo] = {}
-
-
-def memo(path: str) -> PieceMemo:
-    """This worker's memo for a tokenizer file."""
-    if path not in _memos:
-        _memos[path] = PieceMemo(path)
-    return _memos[path]
-
-
 #: Entries of a hashed memo, and bytes of text that it looks up at once.
 HASHED_PIECES, HASHED_BYTES = 400_000, 1 << 20
 _SLOT_BITS = 21
@@ -421,14 +413,12 @@ def spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
 
 
-_hashed: dict[str, HashedMemo] = {}
-
-
 def byte_level_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids (uint16) of whole texts by a byte-level BPE file of fewer than 65536 ids, equal to ``Tokenizer.encode``."""
-    if path not in _hashed:
-        _hashed[path] = HashedMemo(path)
-    return _hashed[path].encode(texts)
+    held = kept("token files")
+    if path not in held:
+        held[path] = HashedMemo(path)
+    return held[path].encode(texts)
 
 
 _texts_of_tokens: dict[str, list[str]] = {}

@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -49,17 +50,71 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     assert got == {i: (least[i], links[i]) for i in range(len(texts))}
 
 
-def test_prefix_is_shortened_until_the_recall_holds():
-    depth = lsh_forest.prefix_length()
-    assert lsh_forest.expected_recall(0.8, depth) >= lsh_forest.RECALL > lsh_forest.expected_recall(0.8, depth + 1)
+def test_least_depth_reaches_the_recall():
+    missed = lambda depth: math.exp(lsh_forest.TREES * lsh_forest.log_miss(0.8, depth))
+    depth = lsh_forest.least_depth()
+    assert missed(depth) <= 1 - lsh_forest.RECALL < missed(depth + 1)
+
+
+@pytest.mark.parametrize("rows, parts", [(100_000, 1), (40, 7)])
+def test_forest_ties_all_that_meet(spark, monkeypatch, rows, parts):
+    """The ties join every two classes whose common prefix in a tree is as long as the shortened prefix of either; none is shorter than the least."""
+    monkeypatch.setattr(lsh_forest, "TRIE_ROWS", rows)
+    rng = np.random.default_rng(4)
+    trees, depth = lsh_forest.TREES, lsh_forest.DEPTH
+    sigs = []
+    for share in (0.0, 0.02, 0.05, 0.1, 0.2, 0.3):
+        base = rng.integers(0, 256, trees * depth, dtype=np.uint8)
+        for _ in range(12):
+            other = base.copy()
+            new = rng.random(len(base)) < share
+            other[new] = rng.integers(0, 256, new.sum())
+            sigs.append(other)
+    sigs += [rng.integers(0, 256, trees * depth, dtype=np.uint8) for _ in range(20)]
+    n = len(sigs)
+    tries = np.array(sigs).reshape(n, trees, depth)
+    common = np.logical_and.accumulate(tries[:, None] == tries[None], axis=3).sum(3)
+    common[np.arange(n), np.arange(n)] = 0
+    least, log = lsh_forest.least_depth(), [0, *[lsh_forest.log_miss(0.8, d) for d in range(1, depth + 1)]]
+    longest = common.max(1)
+    stop = [max(x for x in range(least, depth + 1) if x == least or sum(log[max(least, min(m, x))] for m in own) <= math.log(1 - lsh_forest.RECALL)) for own in longest.tolist()]
+    assert len(set(stop)) > 2
+    own = np.maximum(least, np.minimum(longest, np.array(stop)[:, None]))
+    meets = (common >= np.minimum(own[:, None], own[None])).any(2)
+    df = spark.createDataFrame([(i * 7 - 200, s.tobytes()) for i, s in enumerate(sigs)], "c long, sig binary")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        ties = [((r["u"] + 200) // 7, (r["v"] + 200) // 7) for r in lsh_forest.met_classes(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in ties:
+            label[a] = label[b] = min(label[a], label[b])
+    assert all(label[a] == label[b] for a, b in zip(*np.nonzero(meets)))
+    assert all((common[a, b] >= least).any() for a, b in ties)
+
+
+def test_forest_recall_of_pairs_at_the_threshold(spark):
+    """Pairs of similarity 0.8, alone and each amid near copies of one end, against brute force."""
     rng = np.random.default_rng(1)
-    met = 0
-    for _ in range(300):
-        base = rng.integers(0, 1 << 63, 300).astype(np.uint64) * 2
-        other = np.concatenate([base[33:], rng.integers(0, 1 << 63, 33).astype(np.uint64) * 2])
-        a, b = (lsh_forest.signature(np.sort(x)) for x in (base, other))
-        met += any(a[t : t + depth] == b[t : t + depth] for t in range(0, len(a), lsh_forest.DEPTH))
-    assert met >= 298
+    word = lambda n: [f"v{k}" for k in rng.integers(0, 10**6, n)]
+    texts, pairs = [], []
+    for k in range(150):
+        base = word(104)
+        other = base[:93] + word(11)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [base, other]
+        for _ in range(8 * (k % 2)):
+            copy = list(base)
+            copy[int(rng.integers(104))] = "z%d" % rng.integers(10**6)
+            texts.append(copy)
+    sets = [shingle_set(" ".join(t)) for t in texts]
+    assert all(0.8 <= jaccard(sets[a], sets[b]) < 0.82 for a, b in pairs)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in lsh_forest.jaccard_classes(df).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 148
 
 
 def test_join_edge_rows(spark):

@@ -8,7 +8,9 @@ compared in lower case with white space as one space.
 The items go to every executor in batches of bounded size, and each batch is one pass over the documents, so a
 benchmark of any size is matched whole.  There is no shuffle of texts.
 
-Defined cases: null or empty texts and items, and items shorter than ``LEAST_CHARS``, match nothing; equal items
+An item too short for an edit is sought as it is, where no letter or digit stands beside it.
+
+Defined cases: null or empty texts and items match nothing, nor do rows of a null item id; a null doc_id is kept; equal items
 each match; rows with equal ids are rows of their own; other columns are ignored.
 """
 
@@ -26,7 +28,6 @@ from fluvia.llm.common import kept, per_batch
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.05
-LEAST_CHARS = 20
 #: Characters of items sent to the executors at once.
 BATCH_CHARS = 4 << 20
 
@@ -73,6 +74,11 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _alone(text: str, begin: int, end: int) -> bool:
+    """Whether no letter or digit stands beside the place."""
+    return not text[begin - 1 : begin].isalnum() and not text[end : end + 1].isalnum()
+
+
 class Matcher:
     """Finds items in texts."""
 
@@ -103,10 +109,10 @@ class Matcher:
             item, pattern, k = self.items[number]
             m, best = len(pattern), None
             for begin in sorted(begins):
-                if begin >= 0 and text.startswith(pattern, begin):
+                if begin >= 0 and text.startswith(pattern, begin) and (k or _alone(text, begin, begin + m)):
                     best = 0, begin, begin + m
                     break
-            if best is None:
+            if best is None and k:
                 done = -1
                 for begin in sorted(begins):
                     lo, hi = max(0, begin - k), min(len(text), begin + m + k)
@@ -129,7 +135,7 @@ def _batches(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int,
     batch, held = [], 0
     for row in items.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").toLocalIterator():
         item = canonical(row["text"])
-        if len(item) < LEAST_CHARS:
+        if not item:
             continue
         batch.append((row["key"], item))
         held += len(item)

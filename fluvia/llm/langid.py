@@ -3,9 +3,13 @@
 A text is a vector of hashed letter trigrams (lower case, UTF-8 bytes, everything but letters as a space),
 weighted by TF-IDF and normalised.  Document frequencies and row counts come from all training texts, summed by
 partition.  Each language gets several centroids by spherical k-means over a bounded sample of its training texts
-(at most about ``SAMPLE`` of each, chosen by a hash of the id).  A text takes the language of the centroid of
-largest cosine.  Training texts of the sample also give, for each centroid, the cosine that all but a small share
-of its own texts exceed; a text below its centroid's bound is too far from everything known and is rejected.
+(at most about ``SAMPLE`` of each, chosen by a hash of the id), seeded by draws that favour far texts; a cluster of few
+texts gives no centroid.  A text takes the language of the centroid of largest cosine.
+
+The fewer trigrams a text has, the further it is from any centroid.  So for each language and each length of ``LENGTHS``
+as many trigrams are drawn from every text of its sample, and the cosine that 99 % of them exceed, times ``SLACK``, bounds the
+texts of this length and less than the next one.  A text below the bound of its language and length is too far from everything known and is
+rejected.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; rows with a null lang
 teach nothing; without training rows all texts are ``und``; ties go to the language first in the alphabet; other
@@ -26,10 +30,11 @@ from pyspark.sql import types as T
 from fluvia.llm.common import held_out_remainder, per_batch, sum_vectors
 
 DIMENSIONS, CENTROIDS, SAMPLE, ROUNDS = 4096, 4, 600, 8
-#: A text of fewer trigrams is judged by its language alone, never by its distance.
-LEAST_GRAMS = 30
-#: A centroid's bound is this part of the cosine that 99 % of its sample exceed.
-SLACK = 0.3
+#: A cluster of a smaller share of its language's sample gives no centroid.
+LEAST_SHARE = 0.05
+#: Numbers of trigrams for which there are bounds of their own, and the part of the 1 % quantile that bounds.
+LENGTHS = (1, 4, 8, 16, 32, 64, 128, 256, 512)
+SLACK = 0.5
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[65:91] = np.arange(97, 123)
@@ -63,6 +68,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]
+    #: Least cosine by centroid and length.
     bounds: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
@@ -79,26 +85,39 @@ class Model:
             counts = np.array([trigram_counts(texts[i]) for i in part])
             cosine = self.vectors(counts) @ self.centroids.T
             best = cosine.argmax(1)
-            for i, k, c, n in zip(part, best.tolist(), cosine.max(1).tolist(), counts.sum(1).tolist(), strict=True):
-                out[i] = self.langs[k], float(min(1.0, max(0.0, c))), bool(n >= LEAST_GRAMS and c < self.bounds[k])
+            far = cosine.max(1) < self.bounds[best, np.maximum(np.searchsorted(LENGTHS, counts.sum(1), side="right") - 1, 0)]
+            for i, k, c, f in zip(part, best.tolist(), cosine.max(1).tolist(), far.tolist(), strict=True):
+                out[i] = self.langs[k], float(min(1.0, max(0.0, c))), f
         return out
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means from farthest-point seeds."""
+    """Centres of spherical k-means from seeds drawn in proportion to their distance, without those of few rows."""
     k = min(k, len(x))
+    rng = np.random.default_rng(17)
     seeds = [int((x @ _normal(x.mean(0))).argmax())]
-    near = x @ x[seeds[0]]
-    while len(seeds) < k:
-        seeds.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[seeds[-1]])
+    far = 1 - x @ x[seeds[0]]
+    while len(seeds) < k and (weight := np.maximum(far, 0) ** 2).sum() > 1e-9:
+        seeds.append(int(rng.choice(len(x), p=weight / weight.sum())))
+        far = np.minimum(far, 1 - x @ x[seeds[-1]])
     centres = x[seeds]
     for _ in range(rounds):
         own = (x @ centres.T).argmax(1)
-        centres = _normal(np.array([x[own == j].mean(0) if (own == j).any() else centres[j] for j in range(k)]))
+        held = np.bincount(own, minlength=len(centres))
+        centres = _normal(np.array([x[own == j].mean(0) for j in np.flatnonzero(held >= min(held.max(), LEAST_SHARE * len(x)))]))
     return centres
 
 
+def _least_cosines(model: Model, counts: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each of ``LENGTHS`` the cosine that 99 % of the texts exceed when so many trigrams are drawn from each."""
+    rng = np.random.default_rng(19)
+    share = counts / counts.sum(1, keepdims=True)
+    out = [np.quantile((model.vectors(np.array([rng.multinomial(n, p) for p in share], np.float32)) @ centres.T).max(1), 0.01) for n in LENGTHS]
+    # A text as long as the greatest length or longer is no nearer than its whole is.
+    out[-1] = min(out[-1], np.quantile((model.vectors(counts.astype(np.float32)) @ centres.T).max(1), 0.01))
+    return np.array(out)
+
+
 def fit(df: DataFrame) -> Model:
     """Fit on rows of ``doc_id, text, lang`` outside the held-out third."""
     train = df.where((held_out_remainder() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
@@ -106,7 +125,7 @@ def fit(df: DataFrame) -> Model:
     totals = {r["lang"]: r["n"] for r in df.where((held_out_remainder() != 1) & F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count().withColumnRenamed("count", "n").collect()}
     share = {lang: min(1.0, SAMPLE / n) for lang, n in totals.items()}
     if not totals:
-        return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+        return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, len(LENGTHS))))
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS), 0
@@ -123,26 +142,23 @@ def fit(df: DataFrame) -> Model:
     chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
 
     def sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(lang, trigram_counts(t).astype("<u2").tobytes()) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(t)]
+        out = [(lang, trigram_counts(t).astype("<u4").tobytes()) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(t)]
         lang, counts = zip(*out, strict=True) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(counts, pa.binary())], ["lang", "counts"])
 
-    model = Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+    model = Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, len(LENGTHS))))
     centres, langs, bounds = [], [], []
     rows = chosen.mapInArrow(per_batch(sampled), "lang string, counts binary").collect()  # about SAMPLE a language
     for lang in sorted(totals):
-        own = [np.frombuffer(r["counts"], "<u2") for r in rows if r["lang"] == lang]
+        own = [np.frombuffer(r["counts"], "<u4") for r in rows if r["lang"] == lang and any(r["counts"])]
         if not own:
             continue
-        x = model.vectors(np.array(own, np.float32))
-        c = clustered(x, CENTROIDS)
-        cosine = x @ c.T
-        for k in range(len(c)):
-            near = cosine[cosine.argmax(1) == k, k]
-            centres.append(c[k])
-            langs.append(lang)
-            bounds.append(SLACK * float(np.quantile(near, 0.01)) if len(near) else 0.0)
-    return Model(idf, np.array(centres, np.float32).reshape(-1, DIMENSIONS), langs, np.array(bounds))
+        counts = np.array(own, float)
+        c = clustered(model.vectors(counts.astype(np.float32)), CENTROIDS)
+        centres += list(c)
+        langs += [lang] * len(c)
+        bounds += [SLACK * _least_cosines(model, counts, c)] * len(c)
+    return Model(idf, np.array(centres, np.float32).reshape(-1, DIMENSIONS), langs, np.array(bounds).reshape(-1, len(LENGTHS)))
 
 
 def identify(df: DataFrame) -> DataFrame:

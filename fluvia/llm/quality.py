@@ -50,7 +50,7 @@ def statistics(text: str | None) -> list[float]:
         distinct / k,
         distinct / k**0.75,
         sum(map(operator.eq, words, words[1:])) / k,
-        len(set(zip(words, words[1:]))) / k if distinct < 0.5 * k else 1.0,
+        len(set(zip(words, words[1:]))) / k,
         len(set(lines)) / len(lines),
         np.log1p(len(lines)) / np.log1p(len(words) + 1),
         float(count[65:91].sum()),

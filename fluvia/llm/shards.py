@@ -1,6 +1,6 @@
 """Sharding by Karmarkar-Karp differencing.
 
-Rows of equal text form a group that stays whole.  Every partition of groups is differenced on its own: each
+Rows of equal text form a group that stays whole.  Every partition of about ``TASK_GROUPS`` groups is differenced on its own: each
 group starts as a partial partition with one filled bin, and the two partials of largest spread are combined,
 fullest bin with emptiest, until one is left.  Each partition of groups so yields one partial of as many sums as
 there are shards; the driver combines those in the same way and receives numbers only, as many as partitions
@@ -22,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import stored
+from fluvia.llm.common import per_task, stored
 
 SHARDS = 8
+#: Groups of equal texts that one task differences, about: a group takes it 1.7 KB.
+TASK_GROUPS = 50_000
 #: Rows of one numbering bucket.
 BUCKET_ROWS = 20_000
 
@@ -67,7 +69,9 @@ def balanced(df: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.md5(text)).alias("text_key"),
     )
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    groups = stored(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")), "text-groups")
+    # A task's partials are Python objects, so their number is bounded whatever the partitions' bytes are.
+    dealt = groups.repartition(max(1, -(-groups.count() // TASK_GROUPS)), "text_key")
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -85,7 +89,7 @@ def balanced(df: DataFrame, shards: int = SHARDS) -> DataFrame:
                 ["text_key", "bytes", "part", "bin"],
             )
 
-    placed = stored(groups.select("text_key", "bytes").mapInArrow(local, "text_key binary, bytes long, part int, bin int"), "shard-groups")
+    placed = stored(dealt.mapInArrow(per_task(local), "text_key binary, bytes long, part int, bin int"), "shard-groups")
     # One row a partition and bin: their number is set by the partitioning, not by the groups.
     sums: dict[int, list[int]] = {}
     for part, at, n in placed.groupBy("part", "bin").agg(F.sum("bytes").alias("n")).collect():

@@ -7,7 +7,7 @@ of each row are selected by partition, and the blocks' lists are merged per quer
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a
 null id; missing trailing components count as zero; rows with equal ids are rows of their own, as candidates and
 as queries, whose candidates are ranked together under their id; a row is no candidate of a query with its id;
-fewer than k candidates give as many ranks; other columns are ignored.
+fewer than k candidates give as many ranks; scores are 64-bit, so components must stay below about 10^8 after scaling; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,9 +78,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embe
                     found = np.concatenate([above, level[: k - len(above)]])
                 else:
                     found = np.arange(len(row))
-                out.append(pd.DataFrame({"query_id": vec_id[q], "copy": int(q), "vec_id": ids[found], "score": row[found]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "copy", "vec_id", "score")})
+                out.append(pd.DataFrame({"query_id": vec_id[q], "vec_id": ids[found], "score": row[found]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
 
-    found = queries.select(*candidates.columns).unionByName(candidates).groupBy("qb", "cb").applyInPandas(best, "query_id long, copy long, vec_id long, score long")
+    found = queries.select(*candidates.columns).unionByName(candidates).groupBy("qb", "cb").applyInPandas(best, "query_id long, vec_id long, score long")
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(over).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

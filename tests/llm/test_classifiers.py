@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -38,6 +39,28 @@ def test_quality_on_held_out_rows(spark):
     assert kept == {r["doc_id"] for r in got if r["predicted"]}
 
 
+def test_quality_equals_one_fit_in_memory(spark):
+    """The summed normal equations and the binned calibration against ridge and pooling over all rows at once."""
+    rows, marks = labelled(400)
+    df = spark.createDataFrame(rows, "doc_id long, text string, predicted string, score double").repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(df, labels).collect()}
+    x = np.array([quality.statistics(t) for _, t, *_ in rows], np.float32).astype(float)
+    y = np.array([q for _, q, _ in marks], float)
+    learn = np.array([not held_out(i) for i, *_ in marks])
+    model = quality.Model(x[learn].mean(0), np.sqrt(np.maximum(x[learn].var(0), 1e-8)))
+    phi = model.lifted(x[learn])
+    model.weights = np.linalg.solve(phi.T @ phi / len(phi) + quality.RIDGE * np.eye(phi.shape[1]) / phi.shape[1], phi.T @ y[learn] / len(phi))
+    at = np.clip(np.floor((model.raw(x[learn]) + 1) / 3 * quality.BINS), 0, quality.BINS - 1)
+    bins = [((k + 0.5) / quality.BINS * 3 - 1, float((at == k).sum()), float(y[learn][at == k].sum())) for k in np.unique(at)]
+    model.knots, model.levels = quality.pooled(bins)
+    assert np.abs(model.score(x) - np.array([got[i] for i, *_ in rows])).max() < 1e-3
+
+
+def test_statistics_count_word_pairs_of_every_text():
+    assert quality.statistics("a b c d")[9] == 0.75 and quality.statistics("a b a b a b")[9] == 2 / 6
+
+
 def test_quality_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -81,6 +104,44 @@ def test_language_on_held_out_rows(spark):
     assert kept == sorted(str(r["doc_id"]) for r in got if not r["rejected"])
 
 
+def test_language_equals_brute_force(spark):
+    """Document frequencies and cosines from dictionaries of trigrams, text by text."""
+    rows, df = speech(spark, 400)
+    model = langid.fit(df)
+
+    def grams(text):
+        raw = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").lower().encode()) + b" "
+        out = {}
+        for i in range(len(raw) - 2):
+            if raw[i : i + 3] != b"   ":
+                code = (raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32 >> 20
+                out[code] = out.get(code, 0) + 1
+        out.pop(langid._BLANK, None)
+        return out
+
+    taught = [grams(t) for i, t, lang, _ in rows if i is not None and not held_out(i) and lang is not None and t and langid.has_letter(t)]
+    idf = [math.log((1 + len(taught)) / (1 + sum(d in g for g in taught))) + 1 for d in range(0, langid.DIMENSIONS, 37)]
+    assert np.allclose(model.idf[::37], idf, atol=1e-5)
+    got = langid.identify(df).collect()
+    for r, (i, t, *_) in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang_pred"])), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
+        if i in (1, None) or not langid.has_letter(t):
+            continue
+        weights = {d: math.log1p(n) * float(model.idf[d]) for d, n in grams(t).items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * float(c[d]) for d, w in weights.items()) / norm for c in model.centroids]
+        assert model.langs[int(np.argmax(cosines))] == r["lang_pred"] and abs(max(cosines) - r["score"]) < 1e-4
+
+
+def test_language_rejects_foreign_texts_of_any_length(spark):
+    _, df = speech(spark)
+    model = langid.fit(df)
+    rng = np.random.default_rng(9)
+    foreign = ["".join(rng.choice(list("一丁丂七丄丅丆万丈三上下"), n)) for n in (6, 12, 40, 400, 70_000)] + ["ΞΕΣΚΕΠΑΖΩ την ψυχοφθόρα βδελυγμία", "привёт щущ"]
+    assert [r for *_, r in model.predict(foreign)] == [True] * len(foreign)
+    own = ["".join(rng.choice(list("aeiourst"), 6)) + " " + "".join(rng.choice(list("aeiourst"), n)) for n in (5, 6, 7) for _ in range(20)] + ["tres sert " * 30_000]
+    assert np.mean([r for *_, r in model.predict(own)]) < 0.05
+
+
 @pytest.mark.parametrize("clause", ["false", "lang is null"])
 def test_language_without_teachers(spark, clause):
     _, df = speech(spark, 8)
@@ -92,3 +153,11 @@ def test_clusters_cover_separate_groups():
     x = langid._normal(np.repeat(np.eye(3, 20), 30, axis=0) + rng.uniform(0, 0.1, (90, 20)))
     c = langid.clustered(x, 3)
     assert ((x @ c.T).max(1) > 0.9).all()
+
+
+def test_outliers_give_no_centroid():
+    rng = np.random.default_rng(5)
+    x = langid._normal(np.concatenate([np.repeat(np.eye(2, 20), 100, axis=0) + rng.uniform(0, 0.1, (200, 20)), np.eye(20)[10:13]]))
+    c = langid.clustered(x, 4)
+    held = np.bincount((x @ c.T).argmax(1))
+    assert 2 <= len(c) and held.min() >= langid.LEAST_SHARE * len(x) - 3

@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -168,6 +169,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
     items = [text(n) for n in (30, 80, 200, 19, 90)]
     items[4] = items[1]
+    items += ["forty two. end", "Q7", "x"]
     docs = [None, "", text(500)]
     for item, edits in itertools.product(items, (0, 1, 3, 8, 14)):
         changed = list(item)
@@ -175,12 +177,15 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
             changed[k] = rng.choice(["", "z", "zz"])
         docs.append(text(150) + "  " + "".join(changed).upper() + text(90))
     docs.append("".join(items) * 2)
+    docs += ["Forty  two. End", "so forty two. ending", "twenty-forty two. end? q7", "xq7 q7x", "(x)", "forty two. end" * 2]
+    assert decontaminate.Matcher([(1, "forty two. end")], 0.05).find("ab forty two. end") == [(1, 0, 3, 17)]
     canon = decontaminate.canonical
     want = set()
     for (i, d), (k, item) in itertools.product(enumerate(docs), enumerate(items)):
-        if len(canon(item)) >= decontaminate.LEAST_CHARS and canon(d):
+        if canon(item) and canon(d):
             least = edit_in(canon(item), canon(d))
-            if least <= decontaminate.budget(len(canon(item))):
+            short = len(canon(item)) < 20
+            if least <= decontaminate.budget(len(canon(item))) and (not short or re.search(r"(?<![^\W_])" + re.escape(canon(item)) + r"(?![^\W_])", canon(d))):
                 want.add((i, k, least))
     monkeypatch.setattr(decontaminate, "BATCH_CHARS", 120)
     df = spark.createDataFrame([(i, d, "q") for i, d in enumerate(docs)], "doc_id long, text string, item_id string")
@@ -196,13 +201,13 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
 
 PAGE = (
     '<html><head><title>t &am</title><script>var a="</p><article>";</script></head><body><header>Site</header><nav><ul><li>a<li>b</ul></nav>'
-    '<div class="ad">buy {0}</div><article><header><h1>Head {0}</h1></header><p><b>One {0}&nbsp;&amp; two<br><p>Three<i>four</i>\n five</p>'
+    '<div class="ad">buy {0}</div><article><header><h1>Head {0}</h1></header><p><b>One {0}&nbsp;&amp; two<br><p>Three<i>four</i>\n five {0}</p>'
     '<p>Always the same line</p><form>x</form><div class="comments"><p>Nice</p></div></article><aside>s</aside><footer>&copy; x</footer>'
 )
 
 
 def test_main_text_without_furniture():
-    assert wrapper.extract(PAGE.format(7)) == "Head 7 One 7 & two Threefour five Always the same line"
+    assert wrapper.extract(PAGE.format(7)) == "Head 7 One 7 & two Threefour five 7 Always the same line"
     plain = '<body><header>H</header><div id="sidebar">s</div><div><h2>T</h2>x<p>y</div><div class="cookie-notice">c</div><section id="comments">r</section>'
     assert wrapper.extract(plain) == "T x y"
     assert wrapper.extract(None) == wrapper.extract("") == ""
@@ -212,7 +217,7 @@ def test_main_text_without_furniture():
 
 
 def test_tree_matching_is_largest():
-    node = lambda label, *children: [label, "", False, list(children), []]
+    node = lambda label, *children: [label, "", False, list(children), [], 0, 1]
     a = [node("p"), node("div", node("a"), node("b")), node("ul")]
     b = [node("div", node("a")), node("p"), node("div", node("a"), node("b")), node("ul")]
     assert wrapper.matched(a, b) == [(0, 1), (1, 2), (2, 3)]
@@ -241,8 +246,8 @@ def test_wrappers_drop_what_a_host_repeats(spark, monkeypatch, sent):
     got = {r["page_id"]: r["text"] for r in wrapper.main_texts(df).collect()}
     assert len(got) == len(rows)
     for i in range(12):
-        assert got[i] == f"Head {i} One {i} & two Threefour five" or got[i] == f"Head {i} One {i} & two Threefour five Always the same line"
-    assert got[20] == "Head 1 One 1 & two Threefour five Always the same line"
+        assert got[i] == f"Head {i} One {i} & two Threefour five {i}"
+    assert got[20] == "Head 1 One 1 & two Threefour five 1 Always the same line"
     assert (got[40], got[41], got[42], got[None]) == (wrapper.extract(PAGE.format(3)), "", "", "n")
     assert wrapper.main_texts(df.where("false")).count() == 0
 
@@ -264,3 +269,34 @@ def test_constant_siblings_of_one_label_are_template(spark):
         own = wrapper.merged(own, wrapper._page_wrapper(wrapper.parse(inside(i))))
     article = own[wrapper._CHILDREN][0]
     assert [c[wrapper._LABEL] for c in article[wrapper._CHILDREN]] == ["h1", "p", "p"]
+
+
+def test_alignment_goes_before_names(spark):
+    """Constant blocks go whatever they are called, an article in an element named as furniture stays, comments never do."""
+    hull = lambda i: f"<body><div class=x>Welcome to us</div><form id=aspnet><h1>Head {i}</h1><p>{'story %d ' % i * 30}<p>Words {i * 7}</form><div class=y>Made with care</div>"
+    talk = lambda i: f"<article><p>Short {i}</p></article><div class=comments><p>{'chatter %d ' % i * 300}</div><aside>see {i}</aside>"
+    rows = [(i, "http://a.example/", hull(i)) for i in range(9)] + [(100 + i, "http://b.example/", talk(i)) for i in range(9)] + [(200 + i, f"http://c{i}.example/", hull(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(df).collect()}
+    for i in range(9):
+        assert got[i] == " ".join(f"Head {i} {'story %d ' % i * 30} Words {i * 7}".split())
+        assert got[100 + i] == f"Short {i}"
+    for i in range(3):
+        assert got[200 + i] == "Welcome to us Made with care"
+
+
+def test_the_content_region_needs_no_names(spark):
+    """Everything varies and nothing is named: the wrapper's region alone tells the article; without it all would be kept."""
+    page = lambda i: f"<body><ul><li>go {i}<li>back {i * 3}</ul><div class=q>buy {i}</div><div class=z><h1>Head {i}</h1><p>{'story %d ' % i * 40}</div><div class=k>seen {i} times</div>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(9):
+        assert got[i] == " ".join(f"Head {i} {'story %d ' % i * 40}".split())
+        assert wrapper.extract(page(i)).startswith(f"go {i} back {i * 3} buy {i} Head {i}")
+
+
+def test_very_long_pages(spark):
+    page = lambda i: f"<nav>menu</nav><article>{''.join(f'<p>Line {k} of {i}</p>' for k in range(20_000))}<p>Bye</p></article>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert got == {i: " ".join(f"Line {k} of {i}" for k in range(20_000)) for i in range(6)}

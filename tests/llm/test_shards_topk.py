@@ -42,6 +42,32 @@ def test_shards_hold_whole_groups_and_gapless_slots(spark, n):
         assert len(sums) == 8 and sums.max() - sums.min() < 0.02 * sums.mean()
 
 
+@pytest.mark.parametrize("groups", [1, 60])
+def test_shards_equal_differencing_of_the_tasks_in_memory(spark, monkeypatch, groups):
+    """Whole documents of the smallest table: rows and groups by a dictionary, sums against the largest group and the mean."""
+    monkeypatch.setattr(shards, "TASK_GROUPS", groups if groups > 1 else 10**6)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = shards.balanced(docs).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()} and len(got) == len(texts)
+    place = {}
+    assert all(place.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"] for r in got)
+    sums = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    weight = {}
+    for t in texts.values():
+        weight[t] = weight.get(t, 0) + len(t.encode()) + 1
+    if groups == 1:
+        order = sorted(weight.values(), reverse=True)
+        places = shards.differencing([[w] + [0] * 7 for w in order])
+        alone = [0] * 8
+        for w, p in zip(order, places, strict=True):
+            alone[p[0]] += w
+        assert max(sums) - min(sums) <= 2 * (max(alone) - min(alone)) + 2
+    assert max(sums) <= max(max(weight.values()), sum(sums) / 8 * (1.02 if groups == 1 else 1.1))
+    for k in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 70)
     monkeypatch.setattr(topk, "QUERIES", 3)

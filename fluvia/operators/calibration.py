@@ -1,24 +1,43 @@
 """Robust log-log power-law fits by zone, with a global fallback.
 
 Every zone is fitted at once: a round is one aggregation by zone for the line, one for the median and one for the
-spread of its residuals. No zone's samples are gathered in a task.
+spread of its residuals. A median of a group of at most ``MEDIAN_ROWS`` samples is taken in one task's buffer; those of
+larger groups are found by rank over range partitions, so no task holds more of them than a partition.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.labels import train_mask
 from fluvia.functions.tables import settled
 
 ROUNDS = 8
+#: Samples of one group whose median one buffer may hold.
+MEDIAN_ROWS = 500_000
 #: Allowed exponents of width and depth fits: fixed values.
 WIDTH_BOUNDS, DEPTH_BOUNDS = (0.05, 1.20), (0.02, 1.20)
 
 
+def medians(rows: DataFrame, by: list[str], value: str, name: str, largest: int) -> DataFrame:
+    """*by, name: the exact median of each group, none of which has more than ``largest`` rows."""
+    if largest <= MEDIAN_ROWS:
+        return rows.groupBy(*by).agg(F.percentile(value, 0.5).alias(name))
+    dealt = rows.select(*by, value).repartitionByRange(*by, value).sortWithinPartitions(*by, value)
+    # Rows of a partition are numbered as they are sorted, and written, so that the numbers stand.
+    held = settled(dealt.select(*by, value, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    counts = held.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*by, "_part", (F.col("_from") - before).alias("_zero"), F.sum("_n").over(whole).alias("_all"))
+    rank = F.col("_at") - F.col("_zero")
+    middle = (rank == F.expr("(_all - 1) div 2")) | (rank == F.expr("_all div 2"))
+    return held.join(starts, [*by, "_part"]).where(middle).groupBy(*by).agg(F.avg(value).alias(name))
+
+
 def robust_fits(samples: DataFrame, area: str, target: str, by: list[str], min_samples: int | Column, min_log10_range: float, bounds: tuple[float | Column, float | Column], max_mad: float, min_residual: float) -> DataFrame:
     """For each group: coefficient, exponent, n_total, n_used, r2_log, rmse_log, mae_log, valid.
 
@@ -37,6 +56,8 @@ def robust_fits(samples: DataFrame, area: str, target: str, by: list[str], min_s
     def back(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.crossJoin(F.broadcast(right)) if on else left.join(right, by)
 
+    fair = settled(fair)
+    largest = fair.agg(F.max("n_total")).first()[0] or 0
     rows = settled(back(rows.where("x is not null"), fair.where("fair").select(*by)))
     line = lambda df: df.where("keep").groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count(F.lit(1)).cast("int").alias("n_used"))
     done = None
@@ -45,9 +66,9 @@ def robust_fits(samples: DataFrame, area: str, target: str, by: list[str], min_s
         enough = F.col("n_used") >= min_samples
         short = fit.where(~enough).select(*by, "n_used", F.lit(None).cast("double").alias("slope"), F.lit(None).cast("double").alias("intercept"))
         rated = back(rows, fit.where(enough)).withColumn("e", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
-        middle = rated.where("keep").groupBy(*by).agg(F.percentile("e", 0.5).alias("med"))
+        middle = medians(rated.where("keep"), by, "e", "med", largest)
         centred = back(rated, middle).withColumn("off", F.abs(F.col("e") - F.col("med")))
-        spread = centred.where("keep").groupBy(*by).agg(F.percentile("off", 0.5).alias("mad"))
+        spread = medians(centred.where("keep"), by, "off", "mad", largest)
         trimmed = back(centred, spread).withColumn("new", F.col("off") <= F.greatest(max_mad * 1.4826 * F.col("mad"), F.lit(float(min_residual))))
         trimmed = settled(trimmed.select(*by, "x", "y", "keep", "new", "slope", "intercept"))
         changed = trimmed.groupBy(*by).agg(F.bool_or(F.col("new") != F.col("keep")).alias("changed"))

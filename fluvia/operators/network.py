@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,14 @@ BRIDGE = 8
 
 
 def staircase(start: tuple[int, int], end: tuple[int, int]) -> list[tuple[int, int]]:
-    """Cells from start to end by steps along the axis with more way left, columns first when equal."""
-    (r, c), out = start, [start]
-    while (r, c) != end:
-        dr, dc = end[0] - r, end[1] - c
-        if abs(dc) >= abs(dr):
-            c += 1 if dc > 0 else -1
-        else:
-            r += 1 if dr > 0 else -1
-        out.append((r, c))
-    return out
+    """Cells from start to end: straight along the longer axis until as much is left along the other, then by turns, columns first."""
+    way = np.subtract(end, start)
+    rows, cols = np.abs(way)
+    turns = min(rows, cols)
+    # 1 for a step along the columns, 0 along the rows.
+    across = np.concatenate([np.full(max(rows, cols) - turns, int(cols > rows)), np.tile([1, 0], turns)]).astype(int)
+    steps = np.sign(way) * np.stack([1 - across, across], axis=1)
+    return [tuple(cell) for cell in (np.cumsum(np.concatenate([[start], steps]), axis=0)).tolist()]
 
 
 def oriented(reaches: DataFrame) -> DataFrame:

@@ -157,3 +157,36 @@ def test_summaries(spark):
     out, stats = summaries.river_only(df, "v", "m")
     assert band(out, "v") == {0: 1, 1: None, 2: None, 3: None} and stats.first()["count"] == 1
     assert summaries.markdown(spark.createDataFrame([(1, "a")], "n int, s string")).splitlines()[2].startswith("| 1")
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_medians_of_large_groups_are_exact(spark, monkeypatch, by):
+    """A hot group, groups of one and two, repeated values: by rank over range partitions as in one buffer."""
+    rows = [(1, float(v * 37 % 101)) for v in range(4000)] + [(2, 5.0), (3, 1.0), (3, 2.0), *[(4, 7.0)] * 50, (4, 9.0)]
+    df = spark.createDataFrame(rows, "k int, e double").repartition(6)
+    want = {tuple(r) for r in calibration.medians(df, by, "e", "med", 0).collect()}
+    monkeypatch.setattr(calibration, "MEDIAN_ROWS", 0)
+    assert {tuple(r) for r in calibration.medians(df, by, "e", "med", 4000).collect()} == want
+
+
+def test_conveyance_of_many_faces_side_by_side(spark):
+    """Faces of different lengths, with gaps, with room for few levels: tolerance, tops and the single results."""
+    rng = np.random.default_rng(8)
+    faces = [(np.cumsum(rng.uniform(0.5, 4, n)), rng.uniform(0, 6, n), rng.uniform(0.02, 0.1, n)) for n in (2, 3, 40, 300, 7)]
+    faces[4][1][2] = np.nan
+    together = subgrid._Sections(np.repeat(np.arange(5), [len(f[0]) for f in faces]), *(np.concatenate([f[k] for f in faces]) for k in range(3)), 5)
+    own, values = subgrid.conveyance_curves(together, subgrid.FILTER_M, 10.0, subgrid.CONVEYANCE_TOLERANCE, 160)
+    for k, (station, bed, rough) in enumerate(faces):
+        datum, alone = subgrid.conveyance_curve(station, bed, rough)
+        curve = values[own == k]
+        assert np.allclose(curve, alone) and datum == together.datum[k] == np.nanmin(bed)
+        low = (bed[1:] + bed[:-1]) / 2 - datum
+        fine = np.isfinite(low)
+        assert len(curve) <= 160 and curve[-1, 0] >= low[fine].max() + 10 and (np.diff(curve, axis=0)[:, [0, 1, 3]] >= 0).all()
+        for z in np.linspace(0.01, curve[-1, 0], 50):
+            area = np.maximum(z - low, 0) * np.diff(station)
+            k_exact = np.nansum(area / ((rough[1:] + rough[:-1]) / 2) * (area / np.hypot(np.diff(station), np.diff(bed))) ** (2 / 3))
+            near = 0.25 if len(curve) == 160 else 2 * subgrid.CONVEYANCE_TOLERANCE
+            assert np.interp(z, curve[:, 0], curve[:, 3]) == pytest.approx(k_exact, rel=near, abs=1e-6)
+    few = subgrid.conveyance_curves(together, 0.0, 10.0, 1e-9, 40)
+    assert np.bincount(few[0]).max() <= 60 and all(few[1][few[0] == k][-1, 0] == values[own == k][-1, 0] for k in range(5))

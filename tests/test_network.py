@@ -69,3 +69,13 @@ def test_stitching_makes_rings_and_holes(spark):
     lone = mesh.unpaired_edges(mesh.with_nodes(ring, mesh.hanging_nodes(ring))).withColumn("face_id", F.lit(1).cast("long"))
     out = polygons.stitched(lone)
     assert out.select("ring").distinct().count() == 2 and mesh.faces(out).first()["area"] == pytest.approx(8)
+
+
+def test_staircase_keeps_to_the_longer_way():
+    for dr in range(-5, 6):
+        for dc in range(-5, 6):
+            path = network.staircase((3, 4), (3 + dr, 4 + dc))
+            assert path[0] == (3, 4) and path[-1] == (3 + dr, 4 + dc) and len(path) == 1 + abs(dr) + abs(dc)
+            for (r, c), (nr, nc) in zip(path, path[1:]):
+                left = abs(3 + dr - r), abs(4 + dc - c)
+                assert (abs(nr - r), abs(nc - c)) == ((0, 1) if left[1] >= left[0] else (1, 0))

@@ -27,7 +27,7 @@ def test_every_square_is_overlapped(spark, orders):
         for b, a in ((0, 0), (0, 1), (1, 0), (1, 1)):
             if r + b < rows and c + a < COLS:
                 want[r * COLS + c, (rows - 1 - r - b) * COLS + c + a] = (10 if a else 20) * (20 if b else 10)
-    found = catalog.QUERIES["polygon_raster_overlap_all_cells"](spark, folder).collect()
+    found = catalog.QUERIES["polygon_raster_overlap"](spark, folder).collect()
     assert len(found) == len(want) and {(x["mesh_index"], x["raster_index"]): x["area_m2"] for x in found} == want
 
 
@@ -44,7 +44,7 @@ def test_every_section_is_cut(spark, orders):
                 to = r + sign * k * step[cell % 5][0], c + sign * k * step[cell % 5][1]
                 if 0 <= to[0] < rows and 0 <= to[1] < COLS:
                     want.add((cell, side, k, *to))
-    found = [tuple(x) for x in catalog.QUERIES["river_cross_sections_all_cells"](spark, folder).collect()]
+    found = [tuple(x) for x in catalog.QUERIES["river_cross_sections"](spark, folder).collect()]
     assert len(found) == len(want) and set(found) == want
 
 
@@ -56,5 +56,5 @@ def test_every_target_is_sampled(spark, orders):
         u, v = c + 26 / 30, r + 7 / 30
         near = [((1 - abs(u - x)) * (1 - abs(v - y)), z[y, x]) for x in (c, c + 1) for y in (r, r + 1) if (y, x) in z]
         want[r * COLS + c] = sum(w * h for w, h in near) / sum(w for w, _ in near) * 2**0.5
-    found = {x["cell_id"]: x["z_m"] for x in catalog.QUERIES["bilinear_samples_all_cells"](spark, folder).collect()}
+    found = {x["cell_id"]: x["z_m"] for x in catalog.QUERIES["bilinear_samples"](spark, folder).collect()}
     assert found == pytest.approx(want, abs=2e-6)

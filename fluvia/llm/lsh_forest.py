@@ -401,25 +401,27 @@ def keep_one(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ids = touched.select("doc_id")
     if ids.count() <= 4 * SENT_MEMBERS:
         ids = F.broadcast(ids)
-    left = df.join(ids, "doc_id", "left_anti").select(*df.columns)
+    # Whole rows travel as one column, so no name of theirs can clash with one used here.
+    packed = df.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    left = packed.join(ids, "doc_id", "left_anti").select(*packed.columns)
     if touched.where("n > 1").limit(1).count():
-        rows = _numbered(df.join(touched.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*df.columns))
-        rows = rows.join(final.select(F.col("c").alias("_c"), "class_id", "keeper"), "_c", "left")
-        once = rows.where((F.col("doc_id") == F.col("class_id")) & (F.col("_c") == F.col("keeper"))).dropDuplicates(["doc_id", "_c"])
-        left = left.unionByName(rows.where("keeper is null").unionByName(once).select(*df.columns))
+        rows = _numbered(packed.join(touched.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*packed.columns))
+        rows = rows.join(final.select("c", "class_id", "keeper"), "c", "left")
+        once = rows.where((F.col("doc_id") == F.col("class_id")) & (F.col("c") == F.col("keeper"))).dropDuplicates(["doc_id", "c"])
+        left = left.unionByName(rows.where("keeper is null").unionByName(once).select(*packed.columns))
     nameless = signed.where("doc_id is null and size > 0").groupBy("c").count().where("count > 1")
     if nameless.limit(1).count():
         rows = _numbered(left.where("doc_id is null"))
-        once = rows.where("_c is not null").dropDuplicates(["_c"]).unionByName(rows.where("_c is null"))
-        left = left.where("doc_id is not null").unionByName(once.select(*df.columns))
-    return left
+        once = rows.where("c is not null").dropDuplicates(["c"]).unionByName(rows.where("c is null"))
+        left = left.where("doc_id is not null").unionByName(once.select(*packed.columns))
+    return left.select("row.*")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """``df`` with the class number of each text as ``_c``; null for a text without words."""
+    """``df`` with the class number of each text as ``c``; null for a text without words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data = [canonical(t) for t in batch.column("text").to_pylist()]
-        return batch.append_column("_c", pa.array([class_number(d) if d else None for d in data], pa.int64()))
+        return batch.append_column("c", pa.array([class_number(d) if d else None for d in data], pa.int64()))
 
-    return df.mapInArrow(per_batch(run), T.StructType([*df.schema, T.StructField("_c", T.LongType())]))
+    return df.mapInArrow(per_batch(run), T.StructType([*df.schema, T.StructField("c", T.LongType())]))

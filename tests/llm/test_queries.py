@@ -64,3 +64,33 @@ def test_empty_tables_go_through(spark, tmp_path):
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_null_ids_repeats_long_texts_and_clashing_names(spark, tmp_path):
+    """Rows made of a document that all stages keep: one of its copies stays, unique texts under shared and null ids stay."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    kept = {r["doc_id"]: r for r in corpus_pipeline.run(spark, DATA).collect()}
+    whole = sorted((r for r in docs.collect() if r["doc_id"] in kept and len(r["text"]) > 900), key=lambda r: r["doc_id"])[:3]
+    halves = [(" ".join(w.split()[: len(w.split()) // 2]), " ".join(w.split()[len(w.split()) // 2 :])) for w in (r["text"] for r in whole)]
+    lang = whole[0]["lang"]
+    long = " ".join(r["text"] for r in docs.collect() if r["doc_id"] in kept and r["lang"] == lang)
+    assert len(long) > 50_000
+    odd = [(10**6, halves[0][0], lang), (10**6, halves[0][0], lang), (10**6, halves[0][1], lang), (None, halves[1][0], lang), (None, halves[1][0], lang), (None, halves[1][1], None), (10**6 + 1, long, lang), (10**6 + 2, None, None), (10**6 + 3, "", "en")]
+    more = spark.createDataFrame([(*r[:2], r[2], "odd", 1) for r in odd], docs.schema)
+    names = ("score", "stats", "c", "class_id", "keeper", "n", "gone", "size", "ids", "item_id", "rejected", "_c", "key", "held_out")
+    both = docs.unionByName(more)
+    for name in names:
+        both = both.selectExpr("*", f"'x' AS {name}")
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    stage_docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = stage_docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage_docs = stage(spark, stage_docs, str(tmp_path))
+        assert stage_docs.columns == columns
+        stage_docs = spark.createDataFrame(stage_docs.collect(), stage_docs.schema)
+    left = stage_docs.where("source = 'odd'").collect()
+    assert sorted((str(r["doc_id"]), r["text"][:60]) for r in left) == sorted({(str(i), t[:60]) for i, t, _ in odd if t})
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} >= {10**6, None, 10**6 + 1} and sum(r["doc_id"] == 10**6 for r in out) == 2 and sum(r["doc_id"] is None for r in out) == 2

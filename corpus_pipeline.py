@@ -1,4 +1,10 @@
-"""A training corpus from documents: the stages in order, each on what the stage before kept."""
+"""A training corpus from documents: the stages in order, each on what the stage before kept.
+
+Defined cases: null and empty texts are judged by their quality score like others, and have no language, so they go; rows with a
+null id are judged like others, and are near copies only of rows with a null id and an equal text; repeated rows are copies,
+of which one stays; an id on several texts is several rows; of linked texts the one of least id stays; texts of any length are
+read whole; further columns, whatever their names, go through all stages but the last unchanged; an empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -44,7 +44,7 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 128, 200_000
 #: Entries of a sorted trie that are looked through at once.
 TRIE_ROWS = 100_000
 #: Members of compared groups are sent to all executors up to this number; beyond it both sides are shuffled.
-SENT_MEMBERS = 500_000
+SENT_MEMBERS = 200_000
 
 _RNG = np.random.default_rng(77)
 _BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)

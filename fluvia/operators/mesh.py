@@ -226,17 +226,10 @@ def with_nodes(polygons: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def welded(polygons: DataFrame, minimum_length: float) -> DataFrame:
     """Polygons with the ends of edges shorter than ``minimum_length`` welded: each part of the short-edge graph moves to its least vertex."""
-    from fluvia.functions.tables import settled
+    from fluvia.functions.graph import components
 
     short = ring_edges(polygons).where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) < minimum_length).select("k0", "k1").distinct()
-    both = settled(short.unionByName(short.select(F.col("k1").alias("k0"), F.col("k0").alias("k1"))))
-    label = settled(both.groupBy("k0").agg(F.least(F.min("k1"), F.col("k0")).alias("to")))
-    while True:
-        near = both.join(label.select(F.col("k0").alias("k1"), "to"), "k1").groupBy("k0").agg(F.min("to").alias("near"))
-        new = settled(label.join(near, "k0").select("k0", F.col("to").alias("was"), F.least("to", "near").alias("to")))
-        label = new.select("k0", "to")
-        if not new.where("was <> to").limit(1).count():
-            break
+    label = components(short.select(F.col("k0").alias("u"), F.col("k1").alias("v"))).select(F.col("node").alias("k0"), F.col("comp").alias("to"))
     keyed = polygons.withColumn("k0", F.struct(_snap(F.col("x")).alias("x"), _snap(F.col("y")).alias("y"))).join(label, "k0", "left")
     moved = keyed.withColumns({"x": F.coalesce(F.col("to.x") * GRID, F.col("x")), "y": F.coalesce(F.col("to.y") * GRID, F.col("y"))}).select("face_id", "ring", "seq", "x", "y")
     order = Window.partitionBy("face_id", "ring").orderBy("seq")

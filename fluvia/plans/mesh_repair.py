@@ -9,14 +9,14 @@ from fluvia.functions.tables import settled
 from fluvia.operators import mesh, polygons
 
 
-def conforming(shapes: DataFrame, tolerance: float = 1e-3, rounds: int = 6) -> DataFrame:
-    """Polygons with neighbours' vertices on their edges, until every shared edge is shared whole."""
+def conforming(shapes: DataFrame, tolerance: float = 1e-3, rounds: int = 30) -> DataFrame:
+    """Polygons with neighbours' vertices on their edges, until every shared edge is shared whole; raises if it never is."""
     for _ in range(rounds):
         nodes = settled(mesh.hanging_nodes(shapes, tolerance))
         if not nodes.limit(1).count():
             return shapes
         shapes = settled(mesh.with_nodes(shapes, nodes))
-    return shapes
+    raise RuntimeError("edges with a neighbour's vertices on them are left")
 
 
 def merged_round(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def repaired(shapes: DataFrame, minimum_face: float, minimum_scale: float, group
 
     A cell below the scale 2A/P joins the neighbour of its longest boundary, within its group if groups(face_id, group)
     are given; so does the smaller cell beside a face that is too short or whose centres are too near. Rounds end when
-    nothing is left to merge. The partition of the plane is kept: areas only move between cells.
+    nothing is left to merge; after ``rounds`` of them a last report row with pairs says that something is. The partition of the plane is kept: areas only move between cells.
     """
     spark = shapes.sparkSession
     report = []

@@ -172,6 +172,14 @@ def repair_pairs(edges: DataFrame, bad: DataFrame, groups: DataFrame, same_group
     return shared.groupBy(F.col("owner").alias("face_id")).agg(F.max_by("neighbor", F.struct("shared", -F.col("neighbor"))).alias("into"))
 
 
+def rerouted_pairs(edges: DataFrame, pairs: DataFrame, groups: DataFrame, protected: str) -> DataFrame:
+    """face_id, into for ``pairs(face_id, into)`` across groups: each end outside the protected group, with the neighbour of its own group with which it shares most."""
+    names = lambda end, to: groups.select(F.col("face_id").alias(end), F.col("group").alias(to))
+    across = pairs.select(F.col("face_id").alias("l"), F.col("into").alias("r")).join(names("l", "gl"), "l").join(names("r", "gr"), "r").where("gl <> gr")
+    ends = across.select(F.explode(F.array(F.struct(F.col("l").alias("face_id"), F.col("gl").alias("g")), F.struct(F.col("r").alias("face_id"), F.col("gr").alias("g")))).alias("e")).select("e.*")
+    return repair_pairs(edges, ends.where(F.col("g") != protected).select("face_id").distinct(), groups)
+
+
 def merge_matching(pairs: DataFrame) -> DataFrame:
     """Pairs(face_id, into) of which no cell is in two: those that are first of both ends in order, for one round of merging."""
     a, b = F.least("face_id", "into").alias("a"), F.greatest("face_id", "into").alias("b")
@@ -205,16 +213,16 @@ def mask_outline(cells: DataFrame, mask: str, x0: float, y0: float, dx: float, d
 
 def hanging_nodes(polygons: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """face_id, ring, seq, x, y of vertices of other faces that lie inside unpaired edges: where to insert them."""
-    from fluvia.operators.nearest import segment_distance
+    from fluvia.operators.nearest import along_buckets, segment_distance
 
+    # Buckets are as wide as the mean edge; a long one is dealt to the many that it passes.
     edges = unpaired_edges(polygons)
-    longest = edges.agg(F.max(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("l")).first()["l"] or 1.0
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - tolerance) / longest), F.floor((F.greatest(a, b) + tolerance) / longest))
-    dealt = edges.withColumn("_i", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("_j", F.explode(span(F.col("ay"), F.col("by"))))
+    size = max(edges.agg(F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("l")).first()["l"] or 1.0, tolerance)
+    dealt = along_buckets(edges, size, tolerance)
     ends = edges.select(F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("ka").alias("k")).unionByName(edges.select(F.col("bx").alias("x"), F.col("by").alias("y"), F.col("kb").alias("k"))).dropDuplicates(["k"])
-    placed = ends.withColumns({"_i": F.floor(F.col("x") / longest), "_j": F.floor(F.col("y") / longest)})
+    placed = ends.withColumns({"i": F.floor(F.col("x") / size), "j": F.floor(F.col("y") / size)})
     hit = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= tolerance
-    return dealt.join(placed, ["_i", "_j"]).where(hit & (F.col("k") != F.col("ka")) & (F.col("k") != F.col("kb"))).select("face_id", "ring", "seq", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")).alias("along"), "x", "y").dropDuplicates(["face_id", "ring", "seq", "x", "y"])
+    return dealt.join(placed, ["i", "j"]).where(hit & (F.col("k") != F.col("ka")) & (F.col("k") != F.col("kb"))).select("face_id", "ring", "seq", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")).alias("along"), "x", "y").dropDuplicates(["face_id", "ring", "seq", "x", "y"])
 
 
 def with_nodes(polygons: DataFrame, nodes: DataFrame) -> DataFrame:

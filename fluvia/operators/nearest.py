@@ -107,6 +107,18 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
+def along_buckets(segments: DataFrame, size: float, margin: float = 2e-4) -> DataFrame:
+    """``segments(ax, ay, bx, by, ...)`` with i, j of every square bucket that they pass within ``margin``: as many as they are long."""
+    low_x, high_x = F.least("ax", "bx"), F.greatest("ax", "bx")
+    dealt = segments.withColumn("i", F.explode(F.sequence(F.floor((low_x - margin) / size), F.floor((high_x + margin) / size))))
+    height = lambda x: F.col("ay") + (F.col("by") - F.col("ay")) * (x - F.col("ax")) / (F.col("bx") - F.col("ax"))
+    enter, leave = (height(F.least(F.greatest(F.col("i") * size + e, low_x), high_x)) for e in (-margin, size + margin))
+    steep = F.col("ax") == F.col("bx")
+    low = F.when(steep, F.least("ay", "by")).otherwise(F.least(enter, leave))
+    high = F.when(steep, F.greatest("ay", "by")).otherwise(F.greatest(enter, leave))
+    return dealt.withColumn("j", F.explode(F.sequence(F.floor((low - margin) / size), F.floor((high + margin) / size))))
+
+
 def burned(cells: DataFrame, segments: DataFrame, buffer: float, cell: float) -> DataFrame:
     """cell_id, value of cells (x, y) touched by segments(ax, ay, bx, by, value, order) widened by ``buffer``; the last in order wins.
 
@@ -124,9 +136,10 @@ def burned(cells: DataFrame, segments: DataFrame, buffer: float, cell: float) ->
 def inside_polygons(points: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """key, face_id of points inside polygons given by edges(face_id, ax, ay, bx, by): odd crossings of a ray along x.
 
-    Edges are dealt to horizontal strips, so a point meets only the edges at its height.
+    Edges are dealt to horizontal strips as high as their mean, so a point meets only the edges at its height and one tall
+    edge does not widen the strips of all.
     """
-    height = edges.agg(F.max(F.abs(F.col("by") - F.col("ay"))).alias("h")).first()["h"] or 1.0
+    height = edges.agg(F.avg(F.abs(F.col("by") - F.col("ay"))).alias("h")).first()["h"] or 1.0
     strips = edges.where("ay <> by").withColumn("_s", F.explode(F.sequence(F.floor(F.least("ay", "by") / height), F.floor(F.greatest("ay", "by") / height))))
     rows = points.withColumn("_s", F.floor(F.col("y") / height)).join(strips, "_s")
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluvia.operators import mesh, overlap, subgrid
+from fluvia.operators import mesh, overlap, overlay, subgrid
 from fluvia.plans import bridge
 from fluvia.plans.bridge import CELL_M, CELLS_SQL, OVERLAP_SQL, order_cells, read
 from fluvia.plans.registry import Registry, r6
@@ -165,3 +165,19 @@ def polygon_mesh_cells(spark, sf_dir):
 def mesh_contract_checks(spark, sf_dir):
     polygons = mesh.regular_polygons(_quads(spark, sf_dir), 0.0, 0.0, CELL_M, CELL_M)
     return mesh.validation(polygons, mesh.mesh_edges(polygons))
+
+
+@_R.query(f"""
+WITH {CELLS_SQL}, f AS (SELECT row, col FROM cells WHERE status = 'F'), left_over AS (
+  SELECT c.cell_id, 900.0 - (CASE WHEN a.row IS NULL THEN 0 ELSE 23 * 19 END + CASE WHEN b.row IS NULL THEN 0 ELSE 7 * 19 END + CASE WHEN d.row IS NULL THEN 0 ELSE 23 * 11 END + CASE WHEN e.row IS NULL THEN 0 ELSE 7 * 11 END) AS area_m2
+  FROM cells c LEFT JOIN f a ON a.row = c.row AND a.col = c.col LEFT JOIN f b ON b.row = c.row AND b.col = c.col - 1
+  LEFT JOIN f d ON d.row = c.row + 1 AND d.col = c.col LEFT JOIN f e ON e.row = c.row + 1 AND e.col = c.col - 1)
+SELECT cell_id, area_m2::DOUBLE AS area_m2 FROM left_over WHERE area_m2 > 0
+""")
+def cells_outside_blockers(spark, sf_dir):
+    """Area of every square of the grid outside the squares of finished orders, which lie 7 m east and 11 m north of their own."""
+    quads = order_cells(spark, sf_dir).select(F.col("cell_id").alias("face_id"), "row", "col", "status")
+    cells = mesh.regular_polygons(quads.drop("status"), 0.0, 0.0, CELL_M, CELL_M)
+    blockers = mesh.regular_polygons(quads.where("status = 'F'").drop("status"), 7.0, 11.0, CELL_M, CELL_M)
+    parts = overlay.overlaid(cells, blockers, "difference").select(F.struct("face_id", "part").alias("face_id"), "ring", "seq", "x", "y")
+    return mesh.faces(parts).groupBy(F.col("face_id.face_id").alias("cell_id")).agg(r6(F.sum("area"), 4).alias("area_m2"))

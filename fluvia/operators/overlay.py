@@ -4,7 +4,7 @@ Polygons are rows ``face_id, ring, seq, x, y`` with ring 0 as the outline and ot
 row of a task. The polygons laid over a table are cut into square tiles first, so a cell meets the tiles' pieces near it and
 never a whole feature, however large. Coordinates go to the grid of 0.1 mm on which meshes compare vertices.
 
-Defined cases: null coordinates or ids fail in Spark's own checks; polygons of no area give nothing; repeated rings cover
+Defined cases: vertices without an id or a finite coordinate are left out; polygons of no area give nothing; repeated rings cover
 as one; empty tables give empty results; further columns are not carried.
 """
 
@@ -28,9 +28,13 @@ _COLUMNS = ["part", "ring", "seq", "x", "y"]
 _PIECES = "i long, j long, xs array<long>, ys array<long>, x0 long, y0 long, x1 long, y1 long"
 
 
+def _vertices(polygons: DataFrame) -> DataFrame:
+    return polygons.where("face_id is not null and abs(x) < double('Infinity') and abs(y) < double('Infinity')")
+
+
 def _shapes(polygons: DataFrame) -> DataFrame:
     point = F.struct("ring", "seq", "x", "y")
-    return polygons.groupBy("face_id").agg(F.sort_array(F.collect_list(point)).alias("p"))
+    return _vertices(polygons).groupBy("face_id").agg(F.sort_array(F.collect_list(point)).alias("p"))
 
 
 def _rings(points: Iterable[dict]) -> planar.Part:
@@ -82,7 +86,7 @@ def pieces(polygons: DataFrame, size: float) -> DataFrame:
 
 def typical_extent(polygons: DataFrame) -> float:
     """Mean of the larger side of the polygons' bounds, from one aggregation; 1 for an empty table."""
-    sides = polygons.groupBy("face_id").agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("d"))
+    sides = _vertices(polygons).groupBy("face_id").agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("d"))
     return sides.agg(F.avg("d").alias("d")).first()["d"] or 1.0
 
 
@@ -91,7 +95,7 @@ def _met(polygons: DataFrame, over: DataFrame, size: float) -> DataFrame:
     step = max(1, round(size * planar.STEPS))
     low, high = (lambda c, f=f: F.round(f(c) * planar.STEPS).cast("long") for f in (F.min, F.max))
     tile = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / step), F.floor(F.col(b) / step)))
-    bounds = polygons.groupBy("face_id").agg(low("x").alias("bx0"), low("y").alias("by0"), high("x").alias("bx1"), high("y").alias("by1"))
+    bounds = _vertices(polygons).groupBy("face_id").agg(low("x").alias("bx0"), low("y").alias("by0"), high("x").alias("bx1"), high("y").alias("by1"))
     dealt = bounds.withColumn("i", tile("bx0", "bx1")).withColumn("j", tile("by0", "by1"))
     near = dealt.join(pieces(over, size), ["i", "j"]).where("x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1")
     return _shapes(polygons).join(near.groupBy("face_id").agg(F.collect_list(F.struct("xs", "ys")).alias("m")), "face_id", "left")
@@ -208,7 +212,7 @@ def split_by_lines(cells: DataFrame, lines: DataFrame, least_area: float, size:
     """Cells cut along polylines(line_id, seq, x, y), in order of their ids; a cut that leaves a piece below ``least_area`` is not made."""
     size = size or 2 * typical_extent(cells)
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    bounds = cells.groupBy("face_id").agg(*[f(c).alias(n) for n, f, c in (("x0", F.min, "x"), ("y0", F.min, "y"), ("x1", F.max, "x"), ("y1", F.max, "y"))])
+    bounds = _vertices(cells).groupBy("face_id").agg(*[f(c).alias(n) for n, f, c in (("x0", F.min, "x"), ("y0", F.min, "y"), ("x1", F.max, "x"), ("y1", F.max, "y"))])
     dealt = bounds.withColumn("i", span("x0", "x1")).withColumn("j", span("y0", "y1"))
     near = dealt.join(along_buckets(segments_of(lines), size), ["i", "j"])
     near = near.where((F.least("ax", "bx") <= F.col("x1")) & (F.greatest("ax", "bx") >= F.col("x0")) & (F.least("ay", "by") <= F.col("y1")) & (F.greatest("ay", "by") >= F.col("y0")))

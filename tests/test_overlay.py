@@ -124,3 +124,10 @@ def test_pairs_go_round_protected_cells(spark):
     groups = spark.createDataFrame([(0, "river"), (1, "land"), (2, "land"), (3, "land")], "face_id long, group string")
     pairs = spark.createDataFrame([(0, 1), (2, 3)], "face_id long, into long")
     assert [tuple(r) for r in mesh.rerouted_pairs(edges, pairs, groups, "river").collect()] == [(1, 2)]
+
+
+def test_vertices_without_coordinates_are_left_out(spark):
+    schema = "face_id long, ring int, seq int, x double, y double"
+    bad = spark.createDataFrame([(0, 0, 9, None, 1.0), (0, 0, 8, float("nan"), 1.0), (None, 0, 0, 1.0, 1.0), (7, 0, 0, float("inf"), 0.0)], schema)
+    cells = squares(spark, box(0, 0, 10, 10)).unionByName(bad)
+    assert areas(overlay.overlaid(cells, squares(spark, box(5, 0, 10, 10)).unionByName(bad), "difference"), "face_id", "part") == {(0, 0): 50.0}

@@ -13,13 +13,13 @@ comments is furniture, and the innermost elements named as the main part are the
 element so named, which then holds nearly all varying text (``HULL``).  A page's text is what its content slots hold, in page
 order.  A host of too few pages for a wrapper goes by names alone.
 
-Wrappers are induced from all pages.  A task folds its pages into one wrapper a host as it reads them, wrappers of
+Wrappers are induced from all pages, from all their elements and at any depth: steps that call each other run on a stack of
+their own.  A task folds its pages into one wrapper a host as it reads them, small ones together before a large one; wrappers of
 a host are merged by twos in salted groups, so a host of any share of the rows takes no task of its own,
-and a wrapper's size depends on the host's layouts, not on its pages.
+and a wrapper's size depends on the host's layouts and on the texts that its pages agree on, not on its pages.
 
 Defined cases: null or empty html gives an empty text; a page without a host belongs to the host of the empty
-name; a host with fewer than ``LEAST_PAGES`` different main texts has no wrapper; what is nested deeper than ``DEEPEST``
-elements belongs to no wrapper and goes by names; rows with equal ids are rows of their own; unclosed and stray tags are
+name; a host with fewer than ``LEAST_PAGES`` different main texts has no wrapper; rows with equal ids are rows of their own; unclosed and stray tags are
 closed and ignored as browsers do; other columns are ignored.
 """
 
@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
 from collections import Counter, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator, Sequence
 from html import unescape
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,16 +46,14 @@ LEAST_PAGES = 5
 #: Wrappers are sent to all executors up to this many bytes in all; beyond it pages are shuffled to them.
 SENT_BYTES = 32 << 20
 SALTS = 32
-#: Siblings of one label that a wrapper keeps apart; more of them are held to vary.
-HELD = 256
 #: Shares of a host's varying text from which an element holds the content region: one without, and one with a name of furniture.
 REGION, HULL = 0.8, 0.9
-#: Pairs of siblings beyond which not the largest match is sought but one along equal texts.
+#: Pairs of siblings up to which a match takes one table; more of them are halved first, to the same largest match.
 MATCHED = 1 << 16
-#: Elements deeper than this are not aligned.
-DEEPEST = 120
 #: Hosts whose wrappers a task holds at once, while it folds pages and while it reads them.
 HELD_HOSTS = 500
+#: Nodes from which a wrapper is not gone through for every page of less than half its nodes: such pages are folded together first.
+FOLDED = 1000
 #: An equal text outweighs any number of equal labels in an alignment.
 EQUAL = 1 << 20
 
@@ -178,8 +177,9 @@ def parse(html: str) -> Node:
 
 
 # A wrapper node is a list: label, digest of its own text ("" none yet, None varying), furniture, children, up to LEAST_PAGES
-# digests of main texts of pages that have it, the characters of its own text on all pages, and how often it stands on them.
-_LABEL, _TEXT, _FURNITURE, _CHILDREN, _PAGES, _CHARS, _COUNT = range(7)
+# digests of main texts of pages that have it, the characters of its own text on all pages, how often it stands on them, and
+# whether no text in its subtree is constant.
+_LABEL, _TEXT, _FURNITURE, _CHILDREN, _PAGES, _CHARS, _COUNT, _VARIES = range(8)
 
 
 def _digest(text: str) -> str:
@@ -269,28 +269,63 @@ def _outline(root: Node, page: str, origin: dict[int, Node]) -> list:
 
     def made(node: Node) -> list:
         own = _own_text(node)
-        new = [node.label, _digest(own) if own else "", node.furniture, [], [page], len(own), 1]
+        new = [node.label, _digest(own) if own else "", node.furniture, [], [page], len(own), 1, False]
         origin[id(new)] = node
         return new
 
     top = made(root)
     order = [top]
-    todo = deque([(root, top, 0)])
+    todo = deque([(root, top)])
     while todo:
-        node, own, depth = todo.pop()
-        if depth >= DEEPEST:
-            continue
+        node, own = todo.pop()
         for x in node.items:
             if isinstance(x, Node):
                 new = made(x)
                 own[_CHILDREN].append(new)
                 order.append(new)
-                todo.appendleft((x, new, depth + 1))
+                todo.appendleft((x, new))
     for own in reversed(order):
         own[_CHILDREN] = [c for c in own[_CHILDREN] if c[_TEXT] != "" or c[_CHILDREN]]
+        own[_VARIES] = _all_vary(own)
     return top
 
 
+def _packed(wrapper: list) -> str:
+    """The wrapper as JSON of one row a node, parents first, with numbers of children: no nesting, whatever its depth."""
+    rows, todo = [], [wrapper]
+    while todo:
+        node = todo.pop()
+        rows.append([*node[:_CHILDREN], len(node[_CHILDREN]), *node[_CHILDREN + 1 :]])
+        todo += reversed(node[_CHILDREN])
+    return json.dumps(rows)
+
+
+def _unpacked(data: str) -> list:
+    done: list[list] = []
+    for node in reversed(json.loads(data)):
+        node[_CHILDREN] = [done.pop() for _ in range(node[_CHILDREN])]
+        done.append(node)
+    return done[0]
+
+
+Steps = Generator["Steps", Any, Any]
+
+
+def _run(steps: Steps) -> Any:
+    """The result of steps that yield the steps whose results they need: pages may nest deeper than Python recurses."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            asked = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(asked)
+            value = None
+    return value
+
+
 def _fold(into: list, other: list) -> None:
     """Join the texts and pages of matched nodes."""
     a, b = into[_TEXT], other[_TEXT]
@@ -307,10 +342,13 @@ def matched(a: list[list], b: list[list], sizes: dict[tuple[int, int], int] | No
 
     ``sizes`` keeps the sizes of subtree matches, so each pair of nodes is matched once.
     """
+    return _run(_matching(a, b, {} if sizes is None else sizes))
+
+
+def _matching(a: list[list], b: list[list], sizes: dict[tuple[int, int], int]) -> Steps:
     labels = [x[_LABEL] for x in a]
     if labels == [x[_LABEL] for x in b] and len(set(labels)) == len(labels):
         return [(i, i) for i in range(len(a))]
-    sizes = {} if sizes is None else sizes
     # Equal leaves at either end belong to a largest match.
     first, last = 0, 0
     while first < min(len(a), len(b)) and _same_leaf(a[first], b[first]):
@@ -318,98 +356,186 @@ def matched(a: list[list], b: list[list], sizes: dict[tuple[int, int], int] | No
     while last < min(len(a), len(b)) - first and _same_leaf(a[-1 - last], b[-1 - last]):
         last += 1
     n, m = len(a) - last, len(b) - last
-    if (n - first) * (m - first) > MATCHED:
-        between = _matched_long(a[first:n], b[first:m], sizes)
-        return [(i, i) for i in range(first)] + [(first + i, first + j) for i, j in between] + [(n + k, m + k) for k in range(last)]
+    x, y = a[first:n], b[first:m]
+    rows, columns = _needed(x, y), _needed(y, x)
+    between = yield (_matching_long if len(rows) * len(columns) > MATCHED else _matching_table)([x[i] for i in rows], [y[j] for j in columns], sizes)
+    return [(i, i) for i in range(first)] + [(first + rows[i], first + columns[j]) for i, j in between] + [(n + k, m + k) for k in range(last)]
+
+
+def _needed(nodes: list[list], others: list[list]) -> Sequence[int]:
+    """Places of siblings that suffice for a largest match: of leaves in a row that differ in nothing that the others have, as many as there are others."""
+    if len(nodes) <= 4 * len(others):
+        return range(len(nodes))
+    texts = {x[_TEXT] for x in others if x[_TEXT]}
+    needed, before, run = [], None, 0
+    for i, x in enumerate(nodes):
+        plain = None if x[_CHILDREN] or x[_TEXT] in texts else x[_LABEL]
+        run = run + 1 if plain == before else 1
+        before = plain
+        if plain is None or run <= len(others):
+            needed.append(i)
+    return needed
+
+
+def _matching_table(a: list[list], b: list[list], sizes: dict[tuple[int, int], int]) -> Steps:
+    n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, first - 1, -1):
-        for j in range(m - 1, first - 1, -1):
-            both = best[i + 1][j + 1] + _size(a[i], b[j], sizes) if a[i][_LABEL] == b[j][_LABEL] else 0
-            best[i][j] = max(both, best[i + 1][j], best[i][j + 1])
-    out = [(i, i) for i in range(first)]
-    i = j = first
+    taken = [[False] * m for _ in range(n)]
+    for i in range(n - 1, -1, -1):
+        x, row, below = a[i], best[i], best[i + 1]
+        for j in range(m - 1, -1, -1):
+            most = max(below[j], row[j + 1])
+            if x[_LABEL] == b[j][_LABEL]:
+                size = _known(x, b[j], sizes)
+                if size is None:
+                    size = yield _sizing(x, b[j], sizes)
+                if below[j + 1] + size >= most:
+                    most = below[j + 1] + size
+                    taken[i][j] = True
+            row[j] = most
+    out = []
+    i = j = 0
     while i < n and j < m:
-        if a[i][_LABEL] == b[j][_LABEL] and best[i][j] == best[i + 1][j + 1] + _size(a[i], b[j], sizes):
+        if taken[i][j]:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return out + [(n + k, m + k) for k in range(last)]
-
-
-def _matched_long(a: list[list], b: list[list], sizes: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
-    """Order-keeping pairs of many siblings: those whose texts stand once on either side first, then those between them."""
-    places = []
-    for side in (a, b):
-        keys = [(x[_LABEL], x[_TEXT]) for x in side]
-        count = Counter(keys)
-        places.append({k: i for i, k in enumerate(keys) if k[1] and count[k] == 1})
-    anchors = [(i, places[1][k]) for k, i in places[0].items() if k in places[1]]
-    kept = [(-1, -1)] + _rising(anchors) + [(len(a), len(b))]
-    out = []
-    for (i, j), (k, l) in zip(kept, kept[1:], strict=False):
-        x, y = a[i + 1 : k], b[j + 1 : l]
-        if len(x) * len(y) <= MATCHED:
-            out += [(i + 1 + p, j + 1 + q) for p, q in matched(x, y, sizes)]
-        else:
-            # In order of each label: the next one that has not been passed yet.
-            at: dict[str, deque[int]] = {}
-            for q, node in enumerate(y):
-                at.setdefault(node[_LABEL], deque()).append(q)
-            passed = -1
-            for p, node in enumerate(x):
-                queue = at.get(node[_LABEL], deque())
-                while queue and queue[0] <= passed:
-                    queue.popleft()
-                # A far partner would leave out all siblings before it.
-                if queue and queue[0] - passed <= HELD:
-                    passed = queue.popleft()
-                    out.append((i + 1 + p, j + 1 + passed))
-        if k < len(a):
-            out.append((k, l))
     return out
 
 
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest part of pairs in order of the first number in which the second rises too."""
-    tops: list[int] = []
-    ends: list[int] = []
-    before: list[int] = []
-    for n, (_, j) in enumerate(pairs):
-        at = bisect_left(tops, j)
-        before.append(ends[at - 1] if at else -1)
-        if at == len(tops):
-            tops.append(j)
-            ends.append(n)
-        else:
-            tops[at], ends[at] = j, n
-    out, n = [], ends[-1] if ends else -1
-    while n >= 0:
-        out.append(pairs[n])
-        n = before[n]
-    return out[::-1]
+def _matching_long(a: list[list], b: list[list], _: dict[tuple[int, int], int]) -> Steps:
+    """The largest match of many siblings in the memory of one row: both lists are halved where a largest match may be parted.
+
+    Texts that only one side has equal nothing, so siblings that differ in them alone have one form and are compared once.
+    """
+    shared = _texts(a) & _texts(b)
+    interned: dict[tuple, list] = {}
+    sizes: dict[tuple[int, int], int] = {}
+    x, y = _interned(a, shared, interned), _interned(b, shared, interned)
+    forms_x, forms_y = ({id(form): form for form in side}.values() for side in (x, y))
+    texts = {id(form): _texts([form]) for form in (*forms_x, *forms_y)}
+    count_x, count_y = (Counter(text for form in forms for text in texts[id(form)]) for forms in (forms_x, forms_y))
+    # Forms without a rarer text in common match like their bare forms, which keep only the frequent texts.
+    frequent = {text for text in shared if count_x[text] * count_y[text] > len(x) + len(y)}
+    bare_x, bare_y = _interned(x, frequent, interned), _interned(y, frequent, interned)
+    kinds = {id(form): form for form in bare_y}
+    code = {key: k for k, key in enumerate(kinds)}
+    codes = np.array([code[id(form)] for form in bare_y])
+    bare: dict[int, np.ndarray] = {}
+    for form in bare_x:
+        if id(form) not in bare:
+            bare[id(form)] = row = np.zeros(len(kinds), np.int64)
+            for k, other in enumerate(kinds.values()):
+                if form[_LABEL] == other[_LABEL]:
+                    size = _known(form, other, sizes)
+                    row[k] = (yield _sizing(form, other, sizes)) if size is None else size
+                    sizes.pop((id(form), id(other)), None)
+    places: dict[int, list[int]] = {}
+    for j, form in enumerate(y):
+        places.setdefault(id(form), []).append(j)
+    having: dict[str, list[list]] = {}
+    for form in forms_y:
+        for text in texts[id(form)] - frequent:
+            having.setdefault(text, []).append(form)
+    # For each form of one side: where the other has a rarer text in common, and the size there.
+    alike: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for form in forms_x:
+        at: dict[int, int] = {}
+        for other in {id(f): f for text in texts[id(form)] - frequent for f in having.get(text, ()) if f[_LABEL] == form[_LABEL]}.values():
+            size = _known(form, other, sizes)
+            size = (yield _sizing(form, other, sizes)) if size is None else size
+            sizes.pop((id(form), id(other)), None)
+            at.update(dict.fromkeys(places[id(other)], size))
+        alike[id(form)] = np.array(sorted(at), np.int64), np.array([at[j] for j in sorted(at)], np.int64)
+
+    def weights(i: int, begin: int, end: int) -> np.ndarray:
+        row = bare[id(bare_x[i])][codes[begin:end]]
+        where, size = alike[id(x[i])]
+        low, high = np.searchsorted(where, (begin, end))
+        row[where[low:high] - begin] = size[low:high]
+        return row
+
+    def largest(rows: Iterable[int], begin: int, end: int, step: int) -> np.ndarray:
+        """Sizes of the largest matches of all rows with the first 0, 1, 2 ... siblings in the direction of ``step``."""
+        best = np.zeros(end - begin + 1, np.int64)
+        for i in rows:
+            np.maximum(best[1:], best[:-1] + weights(i, begin, end)[::step], out=best[1:])
+            np.maximum.accumulate(best, out=best)
+        return best
+
+    out, windows = [], [(0, len(x), 0, len(y))]
+    while windows:
+        i, n, j, m = windows.pop()
+        # Equal forms at either end belong to a largest match.
+        while i < n and j < m and x[i] is y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1] is y[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if n - i > 1 and (n - i) * (m - j) > MATCHED:
+            half = (i + n) // 2
+            cut = j + int(np.argmax(largest(range(i, half), j, m, 1) + largest(range(n - 1, half - 1, -1), j, m, -1)[::-1]))
+            windows += [(i, half, j, cut), (half, n, cut, m)]
+        elif i < n and j < m:
+            out += [(i + p, j + q) for p, q in (yield _matching_table(x[i:n], y[j:m], sizes))]
+    return sorted(out)
+
+
+def _texts(nodes: list[list]) -> set[str]:
+    """The constant texts in the nodes' subtrees."""
+    order = list(nodes)
+    for node in order:
+        order += node[_CHILDREN]
+    return {node[_TEXT] for node in order if node[_TEXT]}
+
+
+def _interned(nodes: list[list], texts: set[str], interned: dict[tuple, list]) -> list[list]:
+    """The nodes without all but the given texts, one list for all that are equal then."""
+    order = list(nodes)
+    for node in order:
+        order += node[_CHILDREN]
+    forms: dict[int, list] = {}
+    for node in reversed(order):
+        if id(node) not in forms:
+            children = [forms[id(c)] for c in node[_CHILDREN]]
+            text = node[_TEXT] if node[_TEXT] in texts else ""
+            forms[id(node)] = interned.setdefault((node[_LABEL], text, *map(id, children)), [node[_LABEL], text, False, children])
+    return [forms[id(x)] for x in nodes]
 
 
 def _same_leaf(a: list, b: list) -> bool:
     return bool(a[_TEXT]) and a[_TEXT] == b[_TEXT] and a[_LABEL] == b[_LABEL] and not a[_CHILDREN] and not b[_CHILDREN]
 
 
-def _size(a: list, b: list, sizes: dict[tuple[int, int], int]) -> int:
-    """Nodes of the subtrees' match, equal texts weighted."""
-    own = 1 + EQUAL if a[_TEXT] and a[_TEXT] == b[_TEXT] else 1
+def _known(a: list, b: list, sizes: dict[tuple[int, int], int]) -> int | None:
+    """Nodes of the subtrees' match, equal texts weighted, if it needs no matching or has had it."""
     if not a[_CHILDREN] or not b[_CHILDREN]:
-        return own
-    key = id(a), id(b)
-    if key not in sizes:
-        sizes[key] = own + sum(_size(a[_CHILDREN][i], b[_CHILDREN][j], sizes) for i, j in matched(a[_CHILDREN], b[_CHILDREN], sizes))
-    return sizes[key]
+        return 1 + EQUAL if a[_TEXT] and a[_TEXT] == b[_TEXT] else 1
+    return sizes.get((id(a), id(b)))
+
+
+def _sizing(a: list, b: list, sizes: dict[tuple[int, int], int]) -> Steps:
+    total = 1 + EQUAL if a[_TEXT] and a[_TEXT] == b[_TEXT] else 1
+    x, y = a[_CHILDREN], b[_CHILDREN]
+    for i, j in (yield _matching(x, y, sizes)):
+        size = _known(x[i], y[j], sizes)
+        total += (yield _sizing(x[i], y[j], sizes)) if size is None else size
+    sizes[id(a), id(b)] = total
+    return total
+
+
+def _size(a: list, b: list, sizes: dict[tuple[int, int], int]) -> int:
+    size = _known(a, b, sizes)
+    return _run(_sizing(a, b, sizes)) if size is None else size
 
 
-def _varies(node: list) -> bool:
-    """Whether no text in the subtree is constant."""
-    return not node[_TEXT] and all(map(_varies, node[_CHILDREN]))
+def _all_vary(node: list) -> bool:
+    """Whether no text in the subtree is constant, as its children tell."""
+    return not node[_TEXT] and all(c[_VARIES] for c in node[_CHILDREN])
 
 
 def _varying(node: list) -> list:
@@ -417,47 +543,50 @@ def _varying(node: list) -> list:
     todo = [node]
     while todo:
         own = todo.pop()
-        own[_TEXT] = own[_TEXT] and None
-        todo += own[_CHILDREN]
+        if not own[_VARIES]:
+            own[_TEXT] = own[_TEXT] and None
+            own[_VARIES] = True
+            todo += own[_CHILDREN]
     return node
 
 
-def merged(a: list, b: list, sizes: dict[tuple[int, int], int] | None = None) -> list:
+def merged(a: list, b: list) -> list:
     """Union of two aligned wrappers of one host."""
-    sizes = {} if sizes is None else sizes
+    return _run(_merging(a, b, {}))
+
+
+def _merging(a: list, b: list, sizes: dict[tuple[int, int], int]) -> Steps:
     _fold(a, b)
     x, y = a[_CHILDREN], b[_CHILDREN]
-    partner = dict(matched(x, y, sizes))
-    both, lone, at = [], set(), 0
-    for i, node in enumerate(x):
-        j = partner.get(i)
-        if j is None:
-            lone.add(id(node))
-        else:
-            lone.update(map(id, y[at:j]))
-            both += y[at:j]
-            at = j + 1
-            merged(node, y[j], sizes)
-        both.append(node)
-    lone.update(map(id, y[at:]))
-    a[_CHILDREN] = _slotted(both + y[at:], lone)
+    if x or y:
+        partner = dict((yield _matching(x, y, sizes)))
+        both, lone, at = [], set(), 0
+        for i, node in enumerate(x):
+            j = partner.get(i)
+            if j is None:
+                lone.add(id(node))
+            else:
+                lone.update(map(id, y[at:j]))
+                both += y[at:j]
+                at = j + 1
+                yield _merging(node, y[j], sizes)
+            both.append(node)
+        lone.update(map(id, y[at:]))
+        a[_CHILDREN] = yield _slotting(both + y[at:], lone)
+    a[_VARIES] = _all_vary(a)
     return a
 
 
-def _slotted(nodes: list[list], lone: set[int]) -> list[list]:
+def _slotting(nodes: list[list], lone: set[int]) -> Steps:
     """One slot a label for the siblings that vary; where there is one, siblings that only one side has belong to it."""
     slots: dict[str, list] = {}
-    held: dict[str, int] = {}
     kept = []
     for node in nodes:
         label = node[_LABEL]
-        held[label] = held.get(label, 0) + 1
-        if id(node) in lone and held[label] > HELD:
-            _varying(node)
-        if not _varies(node):
+        if not node[_VARIES]:
             kept.append(node)
         elif label in slots:
-            merged(slots[label], node)
+            yield _merging(slots[label], node, {})
         else:
             slots[label] = node
             kept.append(node)
@@ -467,7 +596,7 @@ def _slotted(nodes: list[list], lone: set[int]) -> list[list]:
         if slot is node or id(node) not in lone:
             out.append(node)
         else:
-            merged(slot, _varying(node))
+            yield _merging(slot, _varying(node), {})
     return out
 
 
@@ -490,7 +619,7 @@ def _content_path(wrapper: list) -> list[list]:
         path.append(fit[0])
 
 
-def _settled(root: Node, wrapper: list | None) -> tuple[set[int], list[Node]]:
+def _settled(root: Node, wrapper: list | None, path: list[list] | None) -> tuple[set[int], list[Node]]:
     """(ids of the page's nodes whose own text is the host's template, nodes of the content region or none)."""
     out: set[int] = set()
     if wrapper is None or len(wrapper[_PAGES]) < LEAST_PAGES:
@@ -498,7 +627,7 @@ def _settled(root: Node, wrapper: list | None) -> tuple[set[int], list[Node]]:
     origin: dict[int, Node] = {}
     sizes: dict[tuple[int, int], int] = {}
     top = _outline(root, "", origin)
-    path = _content_path(wrapper)
+    path = path or _content_path(wrapper)
     on_path = set(map(id, path))
     # The page and its body are no region.
     region = id(path[-1]) if path[-1][_LABEL].split(".")[0] not in ("#page", "html", "body") else 0
@@ -514,39 +643,70 @@ def _settled(root: Node, wrapper: list | None) -> tuple[set[int], list[Node]]:
             out.update(map(id, _inline(origin[id(node)])))
         x, y = node[_CHILDREN], own[_CHILDREN]
         partner = dict(matched(x, y, sizes))
+        named: dict[str, list[list]] = {}
+        for c in y:
+            named.setdefault(c[_LABEL], []).append(c)
         for i, child in enumerate(x):
             # More siblings than the wrapper has go by the one most like them.
-            alike = [y[partner[i]]] if i in partner else [c for c in y if c[_LABEL] == child[_LABEL]]
+            alike = [y[partner[i]]] if i in partner else named.get(child[_LABEL])
             if alike:
                 todo.append((child, max(alike, key=lambda c: _size(child, c, sizes))))
     return out, [x for x in _nodes(root) if id(x) in content]
 
 
-def extract(html: str | None, wrapper: list | None = None) -> str:
-    """A page's main text under its host's wrapper."""
+def extract(html: str | None, wrapper: list | None = None, path: list[list] | None = None) -> str:
+    """A page's main text under its host's wrapper; ``path`` is the wrapper's content path, if it is known."""
     if not html:
         return ""
     root = parse(html)
-    template, region = _settled(root, wrapper)
+    template, region = _settled(root, wrapper, path)
     return _pieces(region or _region(root), lambda node: id(node) not in template)
 
 
+class Folds:
+    """Wrappers of one host's pages in their order, each large one more than twice as large as the next."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[list, int]] = []
+
+    def add(self, own: list) -> None:
+        if self.parts and self.parts[-1][1] < FOLDED:
+            own = merged(self.parts.pop()[0], own)
+        self._push(own)
+        while len(self.parts) > 1 and self.parts[-1][1] * 2 >= self.parts[-2][1]:
+            self._join()
+
+    def whole(self) -> list:
+        while len(self.parts) > 1:
+            self._join()
+        return self.parts[0][0]
+
+    def _join(self) -> None:
+        own, _ = self.parts.pop()
+        self._push(merged(self.parts.pop()[0], own))
+
+    def _push(self, own: list) -> None:
+        order = [own]
+        for node in order:
+            order += node[_CHILDREN]
+        self.parts.append((own, len(order)))
+
+
 def _induced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One wrapper for each host among a task's pages."""
-    held: dict[str, list] = {}
+    held: dict[str, Folds] = {}
     for batch in batches:
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if html:
-                host, own = host_of(url), _page_wrapper(parse(html))
-                held[host] = merged(held[host], own) if host in held else own
+                held.setdefault(host_of(url), Folds()).add(_page_wrapper(parse(html)))
                 if len(held) >= HELD_HOSTS:
                     yield _wrapper_rows(held)
                     held = {}
     yield _wrapper_rows(held)
 
 
-def _wrapper_rows(held: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
+def _wrapper_rows(held: dict[str, Folds]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([_packed(w.whole()) for w in held.values()], pa.string())], ["host", "wrapper"])
 
 
 def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,13 +715,13 @@ def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, data in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
             if name == host:
-                own = merged(own, json.loads(data))
+                own = merged(own, _unpacked(data))
                 continue
             if own is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(own)], pa.string())], ["host", "wrapper"])
-            host, own = name, json.loads(data)
+                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([_packed(own)], pa.string())], ["host", "wrapper"])
+            host, own = name, _unpacked(data)
     if own is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(own)], pa.string())], ["host", "wrapper"])
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([_packed(own)], pa.string())], ["host", "wrapper"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -580,7 +740,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     held = wrappers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("bytes")).first()
     if held["bytes"] <= SENT_BYTES:
         sent = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.toLocalIterator()})
-        opened: dict[str, list | None] = {}
+        opened: dict[str, tuple[list, list[list]] | tuple[()]] = {}
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
@@ -589,18 +749,30 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 if len(opened) >= HELD_HOSTS:
                     opened.clear()
                 if host not in opened:
-                    opened[host] = json.loads(sent.value[host]) if host in sent.value else None
-                out.append(extract(html, opened[host]))
+                    own = _unpacked(sent.value[host]) if host in sent.value else None
+                    opened[host] = (own, _content_path(own)) if own else ()
+                out.append(extract(html, *opened[host]))
             return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
         return rows.mapInArrow(per_batch(run), schema)
     # The host's name is taken the same way on both sides; a hot host is split over salts.
     hosts = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", _ADDRESS.pattern, 1), F.lit("")))).withColumn("salt", (F.rand(5) * SALTS).cast("int"))
-    dealt = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = hosts.join(dealt.hint("shuffle_hash"), ["host", "salt"], "left").select("page_id", "url", "html", "wrapper")
-
-    def run_joined(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [extract(h, json.loads(w) if w else None) for h, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+    dealt = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("page", F.lit(False))
+    # A wrapper heads the pages of its host and salt, so it is opened once for them, whatever its size.
+    both = dealt.unionByName(hosts.withColumn("page", F.lit(True)), allowMissingColumns=True).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
 
-    return both.mapInArrow(per_batch(run_joined), schema)
+    def run_headed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, opened = None, ()
+        for batch in batches:
+            out = []
+            for host, salt, data, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "wrapper", "page", "html")), strict=True):
+                if not page:
+                    own = _unpacked(data)
+                    head, opened = (host, salt), (own, _content_path(own))
+                else:
+                    out.append(extract(html, *(opened if head == (host, salt) else ())))
+            if out:
+                pages_only = batch.filter(batch.column("page"))
+                yield pa.RecordBatch.from_arrays([pages_only.column("page_id"), pages_only.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    return both.mapInArrow(per_task(run_headed), schema)

@@ -300,3 +300,83 @@ def test_very_long_pages(spark):
     rows = [(i, "http://a.example/", page(i)) for i in range(6)]
     got = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
     assert got == {i: " ".join(f"Line {k} of {i}" for k in range(20_000)) for i in range(6)}
+
+
+@pytest.mark.parametrize("sent", [1 << 30, 0])
+@pytest.mark.parametrize("depth", [130, 4000])
+def test_wrappers_reach_every_depth(spark, monkeypatch, depth, sent):
+    monkeypatch.setattr(wrapper, "SENT_BYTES", sent)
+    page = lambda i: "<div>" * depth + f"<p>Story {i}</p><p>Call us at any time</p>" + "</div>" * depth
+    # Each level differs by a sibling, so every level is matched by the full rule.
+    mixed = lambda i: "".join("<div>" + "<ul>x</ul>" * (d % 2 == i % 2) for d in range(depth)) + f"<p>Story {i}</p><p>Call us at any time</p>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(9)] + [(100 + i, "http://b.example/", mixed(i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(9):
+        assert got[i] == f"Story {i}"
+    for i in range(12):
+        assert got[100 + i] == f"Story {i}"
+
+
+def tree_size(a, b):
+    """Simple tree matching as it is defined."""
+    size = 1 + wrapper.EQUAL if a[1] and a[1] == b[1] else 1
+    return size + siblings_size(a[3], b[3])
+
+
+def siblings_size(a, b):
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        both = best[i, j] + tree_size(a[i], b[j]) if a[i][0] == b[j][0] else 0
+        best[i + 1, j + 1] = max(both, best[i, j + 1], best[i + 1, j])
+    return best[-1, -1]
+
+
+@pytest.mark.parametrize("pairs", [1, 6, 50])
+def test_matches_of_many_siblings_are_largest(monkeypatch, pairs):
+    monkeypatch.setattr(wrapper, "MATCHED", pairs)
+    rng = np.random.default_rng(11)
+
+    def tree(depth):
+        children = [tree(depth - 1) for _ in range(rng.integers(0, 5))] if depth else []
+        return [str(rng.choice(["p", "li", "div"])), rng.choice(["", None, "a", "b", "c", "d"]), False, children, [], 0, 1]
+
+    for k in range(120):
+        a, b = ([tree(k % 3) for _ in range(rng.integers(0, 14))] for _ in range(2))
+        if k % 4 == 0:
+            b = a[:2] + b + a[3:]
+        if k % 4 == 1:
+            a = [tree(int(rng.random() < 0.1)) for _ in range(60)]
+            b = b[:5]
+        if k % 8 == 1:
+            a, b = b, a
+        got = wrapper.matched(a, b)
+        assert all(i < k and j < l for (i, j), (k, l) in itertools.pairwise(got))
+        assert all(a[i][0] == b[j][0] for i, j in got)
+        assert sum(tree_size(a[i], b[j]) for i, j in got) == siblings_size(a, b)
+
+
+def test_a_host_repeats_many_siblings(spark):
+    """Four hundred constant paragraphs that some pages of a host lack are template, all of them."""
+    rules = lambda i: "".join(f"<p>Rule {k}</p>" for k in range(400 if i % 3 else 1))
+    rows = [(i, "http://a.example/", f"<body><article><h1>Head {i}</h1><section>Story {i}</section>{rules(i)}</article>") for i in range(12)]
+    # More pairs than one table takes, each page without other ones.
+    links = lambda i: "".join(f"<li><a>Link {k}</a>" for k in range(300) if (k + 2 * i) % 14)
+    rows += [(100 + i, "http://b.example/", f"<body><article><h1>Head {i}</h1><section>Story {i}</section><ol>{links(i)}</ol></article>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: f"Head {k % 100} Story {k % 100}" for k in [*range(12), *range(100, 140)]}
+
+
+def test_rolling_lists_fold_to_one_order(monkeypatch):
+    """Wrappers that grow with their pages are the same whether pages are folded one by one or together first."""
+    pages = [wrapper._page_wrapper(wrapper.parse(f"<h1>Head {i}</h1><ul>{''.join(f'<li>Item {k}' for k in range(i, i + 5))}</ul>")) for i in range(60)]
+    whole = []
+    for folded in (1, 8, 1 << 30):
+        monkeypatch.setattr(wrapper, "FOLDED", folded)
+        folds = wrapper.Folds()
+        for page in pages:
+            folds.add(wrapper._unpacked(wrapper._packed(page)))
+        whole.append(wrapper._packed(folds.whole()))
+    assert whole[0] == whole[1] == whole[2]
+    own = wrapper._unpacked(whole[0])
+    assert [c[wrapper._TEXT] for c in own[wrapper._CHILDREN][1][wrapper._CHILDREN]] == [wrapper._digest(f"Item {k}") for k in range(64)]
+    assert wrapper.extract("<h1>Head 7</h1><ul><li>Item 30<li>Item 99</ul>", own) == "Head 7 Item 99"

@@ -6,10 +6,11 @@ which come from the tile and a halo around it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,43 +49,120 @@ def clip_box(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np
     return ring
 
 
+def _cut_at_lines(own: np.ndarray, ends: np.ndarray, axis: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the edge's owner, ax, ay, bx, by) of edges cut where they pass whole numbers of ``axis`` (0 for x) from ``low`` to ``high`` of their owners."""
+    a, b = ends[:, axis], ends[:, axis + 2]
+    first = np.maximum(np.floor(np.minimum(a, b)).astype(np.int64) + 1, low[own])
+    last = np.minimum(np.ceil(np.maximum(a, b)).astype(np.int64) - 1, high[own])
+    n = np.maximum(last - first + 1, 0) + 1
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = a[of], b[of]
+    up = b >= a
+    # Both pieces at a line use its exact place.
+    start = np.where(nth == 0, a, np.where(up, first[of] + nth - 1, last[of] - nth + 1))
+    stop = np.where(nth == n[of] - 1, b, np.where(up, first[of] + nth, last[of] - nth))
+    span = np.where(b == a, 1.0, b - a)
+    other = 1 - axis
+    p, q = ends[of, other], ends[of, other + 2]
+    out = np.empty((len(of), 4))
+    out[:, axis], out[:, axis + 2] = start, stop
+    out[:, other] = np.where(nth == 0, p, p + (q - p) * ((start - a) / span))
+    out[:, other + 2] = np.where(nth == n[of] - 1, q, p + (q - p) * ((stop - a) / span))
+    return own[of], out
+
+
+def ring_cells(ring: np.ndarray, x: np.ndarray, y: np.ndarray, extent: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ring, row, column, area) of many rings' overlaps with unit squares, from vertices in order with their rings' numbers from 0.
+
+    Squares are those of columns x0 <= col < x1 and rows y0 <= row < y1, ``extent`` being x0, y0, x1, y1 of each ring. An edge's piece in a
+    square counts the area between it and the square's left side, and the squares left of it in its row count it with their
+    whole width, so squares between a ring's edges are counted too.
+    """
+    x0, y0, x1, y1 = extent
+    starts = np.flatnonzero(np.diff(ring, prepend=-1))
+    following = np.arange(1, len(ring) + 1)
+    following[np.append(starts[1:], len(ring)) - 1] = starts
+    own, e = _cut_at_lines(ring, np.column_stack([x, y, x[following], y[following]]), 1, y0, y1)
+    row = np.floor((e[:, 1] + e[:, 3]) / 2).astype(np.int64)
+    held = (e[:, 1] != e[:, 3]) & (row >= y0[own]) & (row < y1[own])
+    own, e = _cut_at_lines(own[held], e[held], 0, x0, x1)
+    row = np.floor((e[:, 1] + e[:, 3]) / 2).astype(np.int64)
+    # What lies beside the extent shares one column on each side of it.
+    col = np.clip(np.floor((e[:, 0] + e[:, 2]) / 2).astype(np.int64), x0[own] - 1, x1[own])
+    rise = e[:, 3] - e[:, 1]
+    part = ((e[:, 0] + e[:, 2]) / 2 - col) * rise
+    order = np.lexsort((col, row, own))
+    own, row, col, rise, part = own[order], row[order], col[order], rise[order], part[order]
+    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])])[: len(own)])
+    if not len(new):
+        return own, row, col, part
+    own, row, col, rise, part = own[new], row[new], col[new], np.add.reduceat(rise, new), np.add.reduceat(part, new)
+    line = np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1])])
+    # What rises right of a square, within its row: the row's edges rise and fall by the same, so it is what falls left of it.
+    total = np.cumsum(rise)
+    begun = (total - rise)[np.flatnonzero(line)][np.cumsum(line) - 1]
+    right = begun - total
+    wide = np.concatenate([np.where(line[1:], 1, col[1:] - col[:-1]), [1]])
+    of = np.repeat(np.arange(len(wide)), wide)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(wide) - wide, wide)
+    own, row, col, area = own[of], row[of], col[of] + nth, np.where(nth == 0, part[of], 0.0) + right[of]
+    inside = (col >= x0[own]) & (col < x1[own])
+    return own[inside], row[inside], col[inside], area[inside]
+
+
 def raster_overlap(polygons: DataFrame, x0: float, y0: float, dx: float, dy: float, rows: int, cols: int, least_share: float = 1e-12) -> DataFrame:
     """mesh_index, raster_index (rows counted from the south), area_m2: exact overlap of polygons with raster cells.
 
-    ``polygons(face_id, ring, seq, x, y)``; holes are subtracted. A polygon is cut into rows of cells first and those into
-    cells, so the work follows the cells it covers.
+    ``polygons(face_id, ring, seq, x, y)``; holes are subtracted. All polygons of a batch are cut side by side, and the work
+    follows the cells that they cover. A vertex without a finite coordinate is an error; one without
+    an id belongs to no polygon.
     """
     ship_package(polygons.sparkSession)
-    point = F.struct("ring", "seq", "x", "y")
-    shapes = polygons.groupBy("face_id").agg(F.sort_array(F.collect_list(point)).alias("p"))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for face, points in zip(pdf["face_id"], pdf["p"], strict=True):
-                rings: dict[int, list] = {}
-                for p in points:
-                    rings.setdefault(p["ring"], []).append((p["x"], p["y"]))
-                found: dict[int, float] = {}
-                for number, ring in rings.items():
-                    shape = np.array(ring, float)
-                    sign = 1.0 if number == 0 else -1.0
-                    r_lo, r_hi = int(np.floor((y0 - shape[:, 1].max()) / dy)), int(np.floor((y0 - shape[:, 1].min()) / dy))
-                    for r in range(max(0, r_lo), min(rows - 1, r_hi) + 1):
-                        strip = clip_half_plane(clip_half_plane(shape, (0, 1), y0 - r * dy), (0, -1), -(y0 - (r + 1) * dy))
-                        if len(strip) < 3:
-                            continue
-                        c_lo, c_hi = int(np.floor((strip[:, 0].min() - x0) / dx)), int(np.floor((strip[:, 0].max() - x0) / dx))
-                        for c in range(max(0, c_lo), min(cols - 1, c_hi) + 1):
-                            part = clip_half_plane(clip_half_plane(strip, (-1, 0), -(x0 + c * dx)), (1, 0), x0 + (c + 1) * dx)
-                            area = sign * abs(ring_area(part))
-                            if area:
-                                index = (rows - 1 - r) * cols + c
-                                found[index] = found.get(index, 0.0) + area
-                out += [(face, i, a) for i, a in found.items() if a > dx * dy * least_share]
-            yield pd.DataFrame(out, columns=["mesh_index", "raster_index", "area_m2"])
-
-    return spread(shapes, "face_id").mapInPandas(run, OVERLAP_SCHEMA)
+    def run(face: np.ndarray, ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        if not (np.isfinite(x).all() and np.isfinite(y).all()):
+            raise ValueError("a vertex has no finite coordinate")
+        u, v = (x - x0) / dx, (y0 - y) / dy
+        new = np.concatenate([[True], (face[1:] != face[:-1]) | (ring[1:] != ring[:-1])])[: len(face)]
+        number, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+        # Each ring is counted from a whole cell near it, so far places are as exact as near ones.
+        cu, cv = np.floor(u[begins]), np.floor(v[begins])
+        extent = tuple((n - at).astype(np.int64) for n, at in ((0, cu), (0, cv), (cols, cu), (rows, cv)))
+        own, r, c, area = ring_cells(number, u - cu[number], v - cv[number], extent)
+        r, c = r + cv[own].astype(np.int64), c + cu[own].astype(np.int64)
+        area = np.where(ring[begins][own] == 0, 1.0, -1.0) * np.abs(area) * dx * dy
+        of, index = face[begins][own], (rows - 1 - r) * cols + c
+        order = np.lexsort((index, of))
+        of, index, area = of[order], index[order], area[order]
+        one = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (index[1:] != index[:-1])])[: len(of)])
+        of, index, area = of[one], index[one], np.add.reduceat(area, one) if len(one) else area
+        kept = area > dx * dy * least_share
+        return pa.RecordBatch.from_arrays([pa.array(of[kept]), pa.array(index[kept]), pa.array(area[kept])], ["mesh_index", "raster_index", "area_m2"])
+
+    return whole_faces(polygons, run, OVERLAP_SCHEMA)
+
+
+def whole_faces(polygons: DataFrame, run: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``run(face_id, ring, x, y)`` over batches of vertices in ring order; no face is parted between batches."""
+    held = spread(polygons.select(F.col("face_id").cast("long").alias("face_id"), F.col("ring").cast("int").alias("ring"), F.col("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "face_id")
+
+    def batches_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            face = np.asarray(batch.column("face_id"))
+            cut = int(np.searchsorted(face, face[-1]))
+            if cut or (left and left[-1].column("face_id")[0].as_py() != face[0]):
+                whole = pa.Table.from_batches([*left, batch.slice(0, cut)]) if cut else pa.Table.from_batches(left)
+                yield run(*(whole.column(c).to_numpy() for c in ("face_id", "ring", "x", "y")))
+                left = []
+            left.append(batch.slice(cut))
+        if left:
+            yield run(*(pa.Table.from_batches(left).column(c).to_numpy() for c in ("face_id", "ring", "x", "y")))
+
+    return held.where("face_id is not null").sortWithinPartitions("face_id", "ring", "seq", "x", "y").drop("seq").mapInArrow(batches_of, schema)
 
 
 def voronoi_cell(seed: np.ndarray, others: np.ndarray, domain: np.ndarray) -> tuple[np.ndarray, float]:

@@ -52,14 +52,36 @@ def bisect(low, high, too_low, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(_c(low).alias("lo"), _c(high).alias("hi")), halve)
 
 
+#: Newton steps of ``depth_of_term``: from a start off by a factor of e^0.5 at most they reach the last digits.
+DEPTH_STEPS = 4
+
+
+def depth_of_term(term, width, max_depth: float) -> Column:
+    """Depth up to ``max_depth`` of a rectangle whose A R^(2/3) is ``term``, for positive arguments.
+
+    A R^(2/3) = term means ln d = ln c + 0.4 ln(w + 2 d) with c = term^0.6 / w. The slope of the difference lies in (0.6, 1], so
+    Newton steps in ln d settle; they begin at the greater of the depths for w alone and for 2 d alone. The state carries width and c, which are worked out once a row.
+    """
+    t, w, top = F.greatest(_c(term), F.lit(1e-200)), _c(width), F.lit(float(max_depth))
+    c = F.pow(t, F.lit(0.6)) / w
+    start = F.struct(F.greatest(c * F.pow(w, F.lit(0.4)), F.pow(c * 2**0.4, F.lit(1 / 0.6))).alias("d"), w.alias("w"), F.ln(c).alias("c"))
+
+    def step(s: Column, _: Column) -> Column:
+        d, wetted = s["d"], s["w"] + 2 * s["d"]
+        apart = (F.ln(d) - s["c"] - 0.4 * F.ln(wetted)) / (1 - 0.8 * d / wetted)
+        return F.struct((d * F.exp(-apart)).alias("d"), s["w"].alias("w"), s["c"].alias("c"))
+
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH_STEPS)), start, step, lambda s: s["d"])
+    return F.when(t >= conveyance_term(w, top), top).otherwise(F.least(solved, top))
+
+
 def equivalent_lowering(width, depth, grid_width, mode: str = "wide", max_depth: float = 100.0) -> Column:
     """Depth by which a channel one cell wide must be lowered to convey as much as the river; 0 without a river."""
     b, h, g = _c(width), _c(depth), _c(grid_width)
     if mode == "wide":
         value = F.pow(b / g * F.pow(h, F.lit(5.0 / 3.0)), F.lit(0.6))
     elif mode == "manning_exact":
-        ends = bisect(0.0, max_depth, lambda mid: conveyance_term(g, mid) < conveyance_term(b, h), 60)
-        value = (ends["lo"] + ends["hi"]) / 2
+        value = depth_of_term(conveyance_term(b, h), g, max_depth)
     else:
         raise ValueError("mode must be 'wide' or 'manning_exact'")
     return F.when((b > 0) & (h > 0), F.least(F.greatest(value, F.lit(0.0)), F.lit(float(max_depth)))).otherwise(0.0)
@@ -70,9 +92,8 @@ def manning_depth(discharge, width, slope, manning_n, max_depth: float) -> Colum
     q, w, s = _c(discharge), _c(width), _c(slope)
     good = F.coalesce((q > 0) & (w > 0) & (s > 0), F.lit(False))
     target = q * _c(manning_n) / F.sqrt(s)
-    ends = bisect(0.0, max_depth, lambda mid: conveyance_term(w, mid) < target, 70)
     return F.struct(
-        F.when(good, F.least((ends["lo"] + ends["hi"]) / 2, F.lit(float(max_depth)))).otherwise(0.0).alias("depth"),
+        F.when(good, depth_of_term(target, w, max_depth)).otherwise(0.0).alias("depth"),
         (good & (target > conveyance_term(w, F.lit(float(max_depth))))).alias("clipped"),
     )
 

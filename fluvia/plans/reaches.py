@@ -14,10 +14,13 @@ def reach_geometry(reaches: DataFrame, cell_width: float, manning_n: float, min_
     Columns area, Slp, QMEAN, Q2, width_m, width_DHG may be text; what is no number is null.
     """
     numbers = [c for c in ("area", "Slp", "QMEAN", "Q2", "width_m", "width_DHG") if c in reaches.columns]
-    number = lambda c: F.when(~F.isnan(F.expr(f"try_cast({c} as double)")), F.expr(f"try_cast({c} as double)"))
+    number = lambda c: F.nullif(F.expr(f"try_cast({c} as double)"), F.lit(float("nan")))
     rows = reaches.withColumns({c: number(c) for c in numbers}).where("width_m > 0 and Q2 > 0")
     used = F.least(F.greatest(F.coalesce("Slp", F.lit(float(min_slope))), F.lit(float(min_slope))), F.lit(float(max_slope)))
     rows = rows.withColumns({"Slope_raw": F.col("Slp"), "Slope_used": used}).withColumn("Slope_was_clamped", ~F.col("Slope_used").eqNullSafe(F.col("Slope_raw")))
     rows = rows.withColumns({"Manning_n": F.lit(float(manning_n)), "_m": H.manning_depth("Q2", "width_m", "Slope_used", manning_n, depth_cap)})
-    rows = rows.withColumns({"Depth_Q2_m": F.col("_m.depth"), "Depth_Q2_clipped": F.col("_m.clipped")}).drop("_m").where("Depth_Q2_m > 0")
+    rows = rows.withColumns({"Depth_Q2_m": F.col("_m.depth"), "Depth_Q2_clipped": F.col("_m.clipped")}).drop("_m")
+    # Elsewhere every depth is positive, and a filter would be worked out below the columns it rests on, with all their casts again.
+    if min(min_slope, max_slope, depth_cap) <= 0:
+        rows = rows.where("Depth_Q2_m > 0")
     return rows.withColumn("H_abg_m", H.equivalent_lowering("width_m", "Depth_Q2_m", cell_width, mode, max_lowering))

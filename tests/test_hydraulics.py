@@ -190,3 +190,23 @@ def test_conveyance_of_many_faces_side_by_side(spark):
             assert np.interp(z, curve[:, 0], curve[:, 3]) == pytest.approx(k_exact, rel=near, abs=1e-6)
     few = subgrid.conveyance_curves(together, 0.0, 10.0, 1e-9, 40)
     assert np.bincount(few[0]).max() <= 60 and all(few[1][few[0] == k][-1, 0] == values[own == k][-1, 0] for k in range(5))
+
+
+def test_manning_depth_equals_halvings_and_is_worked_out_once(spark):
+    """Depths from shallow to deep against 200 halvings, and no condition that repeats them below the columns."""
+    from fluvia.plans.reaches import reach_geometry
+
+    def halved(term, w, top):
+        lo, hi = 0.0, top
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if w * mid * (w * mid / (w + 2 * mid)) ** (2 / 3) < term else (lo, mid)
+        return hi
+
+    cases = [(q, w, s) for q in (1e-6, 0.3, 40.0, 9e3, 1e7) for w in (1e-3, 0.5, 17.0, 2e4) for s in (1e-5, 0.02)]
+    got = spark.createDataFrame(cases, "q double, w double, s double").select("q", "w", "s", H.manning_depth("q", "w", "s", 0.035, 20.0).alias("m")).collect()
+    assert [r["m"]["depth"] for r in got] == pytest.approx([halved(r["q"] * 0.035 / r["s"] ** 0.5, r["w"], 20.0) for r in got], rel=1e-12)
+    rows = spark.createDataFrame([("1", "20", "50", "0.001"), ("2", "bad", "50", "0.001"), ("3", "20", "NaN", "0.001"), ("4", "20", "50", None)], "COMID string, width_m string, Q2 string, Slp string")
+    out = reach_geometry(rows, 30.0, 0.035, 1e-5, 0.05, 20.0, 50.0)
+    assert sorted(r["COMID"] for r in out.collect()) == ["1", "4"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1

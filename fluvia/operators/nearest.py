@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.session import ship_package
+from fluvia.functions.tables import spread
 
 
 def envelope(cost: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +38,11 @@ def nearest_source(cells: DataFrame, source: Column, dx: float = 1.0, dy: float
     """cell_id, distance, source_id of each cell's nearest source cell, in metres of the cell sizes; null without sources."""
     ship_package(cells.sparkSession)
     on = F.coalesce(source, F.lit(False))
-    column = Window.partitionBy("col").orderBy("row")
+    # Both windows end at the row itself: one that begins there is worked out anew for each row, with the square of a column's length.
+    column, upwards = Window.partitionBy("col").orderBy("row"), Window.partitionBy("col").orderBy(F.desc("row"))
     mark = F.when(on, F.struct(F.col("row").alias("r"), F.col("cell_id").alias("id")))
     up = F.last(mark, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(mark, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    down = F.last(mark, ignorenulls=True).over(upwards.rowsBetween(Window.unboundedPreceding, 0))
     rows = cells.select("row", "col", "cell_id", up.alias("up"), down.alias("down"))
     above, below = (F.col("row") - F.col("up.r")) * dy, (F.col("down.r") - F.col("row")) * dy
     nearer = F.when(F.col("down").isNull() | (above <= below), F.struct(above.alias("g"), F.col("up.id").alias("id"))).otherwise(F.struct(below.alias("g"), F.col("down.id").alias("id")))
@@ -54,7 +56,7 @@ def nearest_source(cells: DataFrame, source: Column, dx: float = 1.0, dy: float
         value, best = envelope(with_source["g"].to_numpy() ** 2, with_source["col"].to_numpy() * dx, pdf["col"].to_numpy() * dx)
         return pd.DataFrame({"cell_id": pdf["cell_id"], "distance": np.sqrt(np.maximum(value, 0)), "source_id": with_source["id"].to_numpy()[best].astype("int64")})
 
-    found = rows.groupBy("row").applyInPandas(across, "cell_id long, distance double, source_id long")
+    found = spread(rows, "row").groupBy("row").applyInPandas(across, "cell_id long, distance double, source_id long")
     known = F.col("source_id") >= 0
     return found.select("cell_id", F.when(known, F.col("distance")).alias("distance"), F.when(known, F.col("source_id")).alias("source_id"))
 

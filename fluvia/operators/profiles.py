@@ -112,9 +112,10 @@ def interpolated(points: DataFrame, curve: DataFrame, key: str, x: str, y: str)
         curve.select(key, x, F.col(y).alias("_y"), F.lit(True).alias("_knot")), allowMissingColumns=True
     )
     knot = F.when(F.col("_knot"), F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
-    order = Window.partitionBy(key).orderBy(F.col(x), F.desc("_knot"))
+    # The way back ends at the row too: a window that begins there is worked out anew for each row.
+    order, back = Window.partitionBy(key).orderBy(F.col(x), F.desc("_knot")), Window.partitionBy(key).orderBy(F.desc(x), "_knot")
     before = F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(knot, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last(knot, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     a, b = F.col("_a"), F.col("_b")
     share = (F.col(x) - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
     value = F.when(a.isNull(), b["y"]).when(b.isNull() | (F.col(x) == a["x"]), a["y"]).otherwise(a["y"] + share * (b["y"] - a["y"]))

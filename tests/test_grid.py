@@ -241,3 +241,18 @@ def test_capped_routing_never_exceeds_the_cap(spark):
     out = band(fixpoint.capped_routing(df, "z", 0.01, 0.5), "routing")
     flat = np.array(z).ravel()
     assert all(-1e-12 <= out[i] - flat[i] <= 0.5 + 1e-12 for i in range(64))
+
+
+def test_windows_end_at_their_row(spark):
+    """A window from a row to the end of its partition is worked out anew for each row, with the square of the partition."""
+    from fluvia.operators import profiles
+
+    cells = spark.createDataFrame([(r, c, r * 3 + c) for r in range(5) for c in range(3)], "row int, col int, cell_id long")
+    near = nearest.nearest_source(cells, F.col("cell_id").isin(0, 13))
+    curve = spark.createDataFrame([(1, 0.0, 1.0), (1, 4.0, 3.0)], "k int, x double, y double")
+    asked = spark.createDataFrame([(1, x) for x in (-1.0, 0.0, 1.0, 4.0, 5.0)], "k int, x double")
+    drawn = profiles.interpolated(asked, curve, "k", "x", "y")
+    for df in (near, drawn):
+        assert "unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["cell_id"]: r["source_id"] for r in near.collect() if r["cell_id"] in (0, 2, 3, 12, 14)} == {0: 0, 2: 0, 3: 0, 12: 13, 14: 13}
+    assert {r["x"]: r["y"] for r in drawn.collect()} == {-1.0: 1.0, 0.0: 1.0, 1.0: 1.5, 4.0: 3.0, 5.0: 3.0}

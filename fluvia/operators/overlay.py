@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from fluvia.operators.polygons import clip_half_plane
 
 PARTS = "face_id long, part int, ring int, seq int, x double, y double"
 _COLUMNS = ["part", "ring", "seq", "x", "y"]
+_NEAR = ["i", "j", "xs", "ys", "x0", "y0", "x1", "y1", "whole"]
 _PIECES = "i long, j long, xs array<long>, ys array<long>, x0 long, y0 long, x1 long, y1 long"
 
 
@@ -84,6 +87,71 @@ def pieces(polygons: DataFrame, size: float) -> DataFrame:
     return spread(_shapes(polygons), "face_id").mapInPandas(run, _PIECES).distinct()
 
 
+def _grid_rings(faces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, ring's place in its row, vertices on the grid, their places) of ``array<struct<ring, seq, x, y>>`` of many rows, in order."""
+    row = np.repeat(np.arange(len(faces)), np.asarray(pc.fill_null(pc.list_value_length(faces), 0)))
+    flat = faces.flatten()
+    ring, xy = np.asarray(flat.field("ring")), np.column_stack([np.asarray(flat.field(c)) for c in ("x", "y")])
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (ring[1:] != ring[:-1])
+    number = np.cumsum(new) - 1
+    of = row[new]
+    return row, (number - np.searchsorted(of, row)), np.rint(xy * planar.STEPS).astype(np.int64).reshape(-1, 2), np.flatnonzero(new)
+
+
+def _turned(place: np.ndarray, at: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next vertex of each, whether each ring turns the wrong way: outlines clockwise, holes counter-clockwise)."""
+    following = np.arange(1, len(at) + 1)
+    following[np.append(begins[1:], len(at))[: len(begins)] - 1] = begins
+    length = np.diff(np.append(begins, len(at)))
+    local = at - np.repeat(at[begins], length, axis=0) if len(at) else at
+    after = local[following] if len(at) else local
+    # Whole numbers where they fit 64 bits; wide rings are summed one by one.
+    twice = np.add.reduceat(local[:, 0] * after[:, 1] - after[:, 0] * local[:, 1], begins) if len(at) else np.zeros(0, np.int64)
+    wide = np.flatnonzero(np.maximum.reduceat(np.abs(local).max(axis=1), begins) > planar.MOST_BESIDE) if len(at) else []
+    for n in wide:
+        twice[n] = np.sign(planar.twice_area(at[begins[n] : begins[n] + length[n]]))
+    return following, np.where((twice < 0) == (place[begins] == 0), True, False) if len(at) else np.zeros(0, bool)
+
+
+def near_pieces(polygons: DataFrame, size: float) -> DataFrame:
+    """``pieces`` with ``whole``: a ring that meets at most two tiles each way comes whole, once for each tile; only wider ones are cut."""
+    ship_package(polygons.sparkSession)
+    step = max(1, round(size * planar.STEPS))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, place, at, begins = _grid_rings(batch.column("p"))
+            if not len(at):
+                continue
+            _, wrong = _turned(place, at, begins)
+            length = np.diff(np.append(begins, len(at)))
+            lo, hi = np.minimum.reduceat(at, begins), np.maximum.reduceat(at, begins)
+            first, last = lo // step, (hi - 1) // step
+            small = ((last - first) <= 1).all(axis=1)
+            ring = np.repeat(np.arange(len(begins)), 4)
+            tile = first[ring] + np.tile([[0, 0], [0, 1], [1, 0], [1, 1]], (len(begins), 1))
+            held = small[ring] & (tile <= last[ring]).all(axis=1)
+            ring, tile = ring[held], tile[held]
+            m = length[ring]
+            nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            of = np.repeat(ring, m)
+            vertex = at[begins[of] + np.where(wrong[of], length[of] - 1 - nth, nth)]
+            bounds = pa.array(np.concatenate([[0], np.cumsum(m)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(vertex[:, k]))) for k in (0, 1)]
+            columns = [*(pa.array(np.ascontiguousarray(tile[:, k])) for k in (0, 1)), *lists, *(pa.array(np.ascontiguousarray(b[ring][:, k])) for b in (lo, hi) for k in (0, 1)), pa.array(np.ones(len(ring), bool))]
+            yield pa.RecordBatch.from_arrays(columns, _NEAR)
+            out = []
+            for n in np.flatnonzero(~small):
+                shape = at[begins[n] : begins[n] + length[n]]
+                for i, j, piece in _tiles(shape[::-1] if wrong[n] else shape, step):
+                    out.append((i, j, piece[:, 0].tolist(), piece[:, 1].tolist(), *piece.min(axis=0).tolist(), *piece.max(axis=0).tolist(), False))
+            if out:
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_NEAR), preserve_index=False)
+
+    return spread(_vertices(polygons), "face_id").groupBy("face_id").agg(F.sort_array(F.collect_list(F.struct("ring", "seq", "x", "y"))).alias("p")).mapInArrow(run, _PIECES + ", whole boolean").distinct()
+
+
 def typical_extent(polygons: DataFrame) -> float:
     """Mean of the larger side of the polygons' bounds, from one aggregation; 1 for an empty table."""
     sides = _vertices(polygons).groupBy("face_id").agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("d"))
@@ -97,7 +165,9 @@ def _met(polygons: DataFrame, over: DataFrame, size: float) -> DataFrame:
     tile = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / step), F.floor(F.col(b) / step)))
     bounds = _vertices(polygons).groupBy("face_id").agg(low("x").alias("bx0"), low("y").alias("by0"), high("x").alias("bx1"), high("y").alias("by1"))
     dealt = bounds.withColumn("i", tile("bx0", "bx1")).withColumn("j", tile("by0", "by1"))
-    near = dealt.join(pieces(over, size), ["i", "j"]).where("x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1")
+    near = dealt.join(near_pieces(over, size), ["i", "j"]).where("x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1")
+    # A whole ring meets a polygon in the tile of the lower left corner that both bounds share, and in no other.
+    near = near.where((~F.col("whole")) | ((F.floor(F.greatest("x0", "bx0") / step) == F.col("i")) & (F.floor(F.greatest("y0", "by0") / step) == F.col("j"))))
     return _shapes(polygons).join(near.groupBy("face_id").agg(F.collect_list(F.struct("xs", "ys")).alias("m")), "face_id", "left")
 
 
@@ -128,10 +198,60 @@ def overlaid(polygons: DataFrame, over: DataFrame, how: str, least_area: float =
     if how not in ("intersection", "difference"):
         raise ValueError(f"no overlay named {how}")
 
-    def run(part: planar.Part, rings: list[np.ndarray]) -> list[tuple]:
-        return _rows([p for p in planar.combined(part, rings, how) if planar.area(p) >= least_area])
+    least = least_area * 2 * planar.STEPS**2
+    alone = lambda part, rings: _rows([p for p in planar.combined(part, rings, how) if planar.area(p) >= least_area])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            face = np.asarray(batch.column("face_id").cast(pa.int64()))
+            row, place, at, begins = _grid_rings(batch.column("p"))
+            if not len(row):
+                continue
+            met = batch.column("m")
+            count = np.asarray(pc.fill_null(pc.list_value_length(met), 0))
+            over = met.flatten()
+            xs, ys = over.field("xs"), over.field("ys")
+            length = np.asarray(pc.list_value_length(xs)).astype(np.int64) if len(over) else np.zeros(0, np.int64)
+            vertex = np.column_stack([np.asarray(xs.flatten()), np.asarray(ys.flatten())]).astype(np.int64) if len(over) else np.zeros((0, 2), np.int64)
+            first = np.cumsum(length) - length
+            owner = np.repeat(np.repeat(np.arange(len(face)), count), length)
+            after = np.arange(1, len(vertex) + 1)
+            after[first + length - 1] = first
+            following, wrong = _turned(place, at, begins)
+            sign = np.repeat(np.where(wrong, -1, 1), np.diff(np.append(begins, len(at))))
+            g = np.concatenate([row, owner])
+            e = np.vstack([np.hstack([at, at[following]]), np.hstack([vertex, vertex[after]])])
+            w = np.zeros((len(e), 2), np.int64)
+            w[: len(row), 0], w[len(row) :, 1] = sign, 1
+            order = np.argsort(g, kind="stable")
+            starts = np.flatnonzero(np.diff(g[order], prepend=-1))
+            extent = np.maximum.reduceat(e[order].reshape(-1, 2, 2).max(axis=1), starts) - np.minimum.reduceat(e[order].reshape(-1, 2, 2).min(axis=1), starts)
+            wide = g[order][starts][(extent > planar.MOST_BESIDE).any(axis=1)]
+            beside = ~np.isin(g, wide)
+            of, part, ring, xy, twice = planar.combined_many(g[beside], e[beside], w[beside], how)
+            kept = twice >= least
+            of, part, ring, xy = of[kept], part[kept], ring[kept], xy[kept]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (part[1:] != part[:-1])
+            turn = np.ones(len(of), bool)
+            turn[1:] = new[1:] | (ring[1:] != ring[:-1])
+            places = np.arange(len(of))
+            seq = places - places[turn][np.cumsum(turn) - 1]
+            # Parts are numbered again after small ones went.
+            number = np.cumsum(new) - 1
+            part = number - number[np.searchsorted(of, of)]
+            columns = [face[of], part.astype(np.int32), ring.astype(np.int32), seq.astype(np.int32), xy[:, 0] / planar.STEPS, xy[:, 1] / planar.STEPS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["face_id", *_COLUMNS])
+            out = []
+            for n in wide:
+                rings = [vertex[first[k] : first[k] + length[k]] for k in range(count[:n].sum(), count[: n + 1].sum())]
+                out += [(int(face[n]), *r) for r in alone(_rings(batch.column("p")[int(n)].as_py()), rings)]
+            if out:
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["face_id", *_COLUMNS]).astype({"part": "int32", "ring": "int32", "seq": "int32"}), preserve_index=False)
 
-    return _mapped(_met(polygons, over, size or 2 * typical_extent(polygons)), run, _COLUMNS, PARTS)
+    rows = _met(polygons, over, size or 2 * typical_extent(polygons)).select(F.col("face_id").cast("long").alias("face_id"), "p", "m")
+    ship_package(polygons.sparkSession)
+    return spread(rows, "face_id").mapInArrow(run, PARTS)
 
 
 def clipped_to_feature(cells: DataFrame, feature: DataFrame, least_area: float, size: float | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,35 @@ def test_vertices_without_coordinates_are_left_out(spark):
     bad = spark.createDataFrame([(0, 0, 9, None, 1.0), (0, 0, 8, float("nan"), 1.0), (None, 0, 0, 1.0, 1.0), (7, 0, 0, float("inf"), 0.0)], schema)
     cells = squares(spark, box(0, 0, 10, 10)).unionByName(bad)
     assert areas(overlay.overlaid(cells, squares(spark, box(5, 0, 10, 10)).unionByName(bad), "difference"), "face_id", "part") == {(0, 0): 50.0}
+
+
+@pytest.mark.parametrize("how", ["difference", "intersection", "union"])
+def test_arrangements_side_by_side_equal_single_ones(how):
+    """Random polygons, squares that touch, and a holed square, a few hundred at once and each alone."""
+    rng = np.random.default_rng(5)
+
+    def canonical(parts):
+        turn = lambda r: r[r.index(min(r)) :] + r[: r.index(min(r))]
+        rings = [[turn([tuple(map(int, p)) for p in r]) for r in part] for part in parts]
+        return sorted((r[0], sorted(r[1:])) for r in rings)
+
+    def box(x0, y0, x1, y1):
+        return np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]])
+
+    def some_box():
+        x, y = rng.integers(0, 6, 2)
+        return box(x, y, x + rng.integers(1, 5), y + rng.integers(1, 5))
+
+    groups, edges, weights, want = [], [], [], {}
+    for k in range(300):
+        base = rng.integers(-(10**9), 10**9, 2)
+        left = [[rng.integers(0, 10 ** rng.integers(1, 6), (5, 2))], [some_box()], [box(0, 0, 8, 8), box(2, 2, 5, 5)[::-1]]][k % 3]
+        right = [some_box() if k % 3 else rng.integers(0, 50_000, (4, 2)) for _ in range(rng.integers(0, 5))]
+        left, right = planar.oriented([r + base for r in left]), [x for r in right for x in planar.oriented([r + base])]
+        want[k] = canonical(planar.combined(left, right, how))
+        (e1, w1), (e2, w2) = planar._edges(left, 0, 2), planar._edges(right, 1, 2)
+        groups.append(np.full(len(e1) + len(e2), k)), edges.extend((e1, e2)), weights.extend((w1, w2))
+    got = {k: {} for k in want}
+    for g, part, ring, at, _ in zip(*planar.combined_many(np.concatenate(groups), np.vstack(edges), np.vstack(weights), how), strict=True):
+        got[g].setdefault(part, {}).setdefault(ring, []).append(at)
+    assert {k: canonical([[p[r] for r in sorted(p)] for p in parts.values()]) for k, parts in got.items()} == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fluvia.functions.tables import spread
 from fluvia.operators import mesh, overlap, overlay, subgrid
 from fluvia.plans import bridge
 from fluvia.plans.bridge import CELL_M, CELLS_SQL, OVERLAP_SQL, order_cells, read
@@ -122,11 +123,11 @@ def volumes_of_stages(spark, sf_dir):
 def face_conveyance(spark, sf_dir):
     """Flow area, perimeter and conveyance at 2 m above the lowest point of each order's profile of lines."""
     point = F.struct(F.col("l_linenumber").cast("double").alias("station"), (F.col("l_quantity") / 10).alias("bed"), F.lit(0.035).alias("n"))
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(point).alias("p"))
-    profiles = lines.groupBy(F.col("l_orderkey").alias("face")).agg(F.sort_array(F.collect_list("p")).alias("points"))
-    curves = subgrid.face_conveyance_curves(profiles)
-    at = lambda what: r6(subgrid.curve_value(F.col("curve"), F.col("datum_m"), F.col("datum_m") + 2.0, what)).alias(what)
-    return curves.select("face", F.size("curve").alias("points"), at("area"), at("perimeter"), at("conveyance"))
+    # Dealt by order before both groupings, so lines are sent once.
+    lines = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    profiles = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(point).alias("p")).groupBy(F.col("l_orderkey").alias("face")).agg(F.sort_array(F.collect_list("p")).alias("points"))
+    found = subgrid.face_conveyance_at(profiles, 2.0)
+    return found.select("face", "points", *[r6(c).alias(c) for c in ("area", "perimeter", "conveyance")])
 
 
 def _quads(spark, sf_dir):

@@ -210,3 +210,15 @@ def test_manning_depth_equals_halvings_and_is_worked_out_once(spark):
     out = reach_geometry(rows, 30.0, 0.035, 1e-5, 0.05, 20.0, 50.0)
     assert sorted(r["COMID"] for r in out.collect()) == ["1", "4"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_conveyance_at_a_level_equals_the_curve(spark):
+    """Values beside the kernel and through the curve; a face without panels too, and a level beyond the curve."""
+    rows = [(1, [(0.0, 3.0, 0.03), (2.0, 1.0, 0.04), (7.0, 2.5, 0.03)]), (2, [(0.0, 0.0, 0.03)]), (3, [(0.0, 1.0, 0.03), (1.0, 1.0, 0.03)]), (4, [])]
+    profiles = spark.createDataFrame(rows, "face long, points array<struct<station:double,bed:double,n:double>>")
+    curves = subgrid.face_conveyance_curves(profiles)
+    for above in (0.0, 0.4, 2.0, 99.0):
+        values = [subgrid.curve_value(F.col("curve"), F.col("datum_m"), F.col("datum_m") + above, c).alias(c) for c in ("area", "perimeter", "conveyance")]
+        want = {r["face"]: tuple(r)[1:] for r in curves.select("face", F.size("curve").alias("points"), *values).collect()}
+        got = {r["face"]: tuple(r)[1:] for r in subgrid.face_conveyance_at(profiles, above).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)

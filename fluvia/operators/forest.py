@@ -3,17 +3,26 @@
 A node keeps a pointer and what its upstream nodes within 2^k links have sent.  A round sends every node's state
 to its pointer's node and doubles the pointers, so a graph of depth d takes about log2 d rounds of one join and one
 aggregation, instead of d.  Rounds are tables in the shared folder.
+
+Sums upstream and first hits downstream are worked out inside tasks first, each of which holds stretches of neighbouring ids;
+only the nodes that links from other tasks enter (gates) go through rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvia.functions.session import ship_package
 from fluvia.functions.tables import settled
 
+#: Nodes of one task, about, whose links are followed in its memory.
+TASK_NODES = 250_000
 #: Doublings after which a graph must have a cycle.
 MAX_ROUNDS = 48
 
@@ -51,11 +60,132 @@ def _links(cells: DataFrame, *bands: str) -> DataFrame:
     return rows.join(ids, rows["receiver"] == ids["_to"], "left").select("cell_id", F.col("_to").alias("ptr"), *bands)
 
 
+def _dealt(nodes: DataFrame, count: int) -> DataFrame:
+    """Nodes dealt by stretches of ids, the same way for the same ``count``; any ids give parts of like sizes."""
+    tasks = -(-count // TASK_NODES) or 1
+    return nodes.repartition(tasks, F.floor(F.col("cell_id") / max(1, -(-count // tasks))))
+
+
+def _inside(ids: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Places of ``to`` in rising ``ids``; -1 where absent."""
+    at = np.minimum(np.searchsorted(ids, to), max(len(ids) - 1, 0))
+    return np.where(ids[at] == to, at, -1) if len(ids) else np.full(len(to), -1)
+
+
+def _held(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
+    """A task's rows in order of cell_id."""
+    rows = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(rows).combine_chunks().sort_by("cell_id") if rows else None
+
+
+def _receivers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, receivers, whether there is one)."""
+    to = table.column("receiver").combine_chunks()
+    return table.column("cell_id").to_numpy(), to.fill_null(0).to_numpy(zero_copy_only=False), to.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _ends(at: np.ndarray) -> np.ndarray:
+    """Last node of each node's way along ``at``, which -1 ends."""
+    end = np.where(at >= 0, at, np.arange(len(at)))
+    for _ in range(MAX_ROUNDS):
+        further = end[end]
+        if (further == end).all():
+            return end
+        end = further
+    raise CycleError("the receiver graph has a cycle")
+
+
+def _local_sums(at: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Each node's sum over itself and what lies upstream along ``at``."""
+    ptr, values = at.copy(), [v.copy() for v in values]
+    for _ in range(MAX_ROUNDS):
+        on = np.flatnonzero(ptr >= 0)
+        if not len(on):
+            return values
+        for v in values:
+            more = np.zeros_like(v)
+            np.add.at(more, ptr[on], v[on])
+            v += more
+        ptr[on] = ptr[ptr[on]]
+    raise CycleError("the receiver graph has a cycle")
+
+
+def _settled_unless_cyclic(df: DataFrame) -> DataFrame:
+    """``settled``, with a cycle that a task has met as an error of the driver."""
+    try:
+        return settled(df)
+    except PythonException as failed:
+        if "the receiver graph has a cycle" in str(failed):
+            raise CycleError("the receiver graph has a cycle") from failed
+        raise
+
+
 def upstream_sum(cells: DataFrame, *bands: str) -> DataFrame:
-    """cell_id and for each band the sum over the cell and all cells upstream; nulls count as zero."""
-    start = _links(cells, *bands).select("cell_id", "ptr", *[F.coalesce(F.col(b), F.lit(0)).alias(b) for b in bands])
-    add = {b: lambda own, more: own + F.coalesce(more, F.lit(0)) for b in bands}
-    return doubled(start, add, {b: F.sum for b in bands})
+    """cell_id and for each band the sum over the cell and all cells upstream; nulls count as zero.
+
+    A task sums along the links inside it. What leaves it enters the gates of others; gates form a forest of their own, whose sums
+    are what enters, and a second pass adds it.
+    """
+    ship_package(cells.sparkSession)
+    base = settled(cells.select("cell_id", "receiver", *[F.coalesce(F.col(b), F.lit(0)).alias(b) for b in bands]))
+    count = base.count()
+    kinds = {b: t for b, t in base.dtypes if b in bands}
+    wide = {b: "double" if t in ("double", "float") else "bigint" for b, t in kinds.items()}
+    sums_schema = ", ".join(["cell_id bigint", *[f"`{b}` {wide[b]}" for b in bands]])
+    base = base.select(F.col("cell_id").cast("bigint").alias("cell_id"), F.col("receiver").cast("bigint").alias("receiver"), *[F.col(b).cast(wide[b]).alias(b) for b in bands])
+    out_names = ["cell_id", *bands]
+
+    def leaving(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _held(batches)
+        if table is None:
+            return
+        ids, to, some = _receivers(table)
+        at = np.where(some, _inside(ids, to), -1)
+        sums = _local_sums(at, [table.column(b).to_numpy() for b in bands])
+        out = np.flatnonzero(some & (at < 0))
+        yield pa.RecordBatch.from_arrays([pa.array(to[out]), *(pa.array(v[out]) for v in sums)], out_names)
+
+    entering = _settled_unless_cyclic(_dealt(base, count).mapInArrow(leaving, sums_schema).groupBy("cell_id").agg(*[F.sum(b).cast(wide[b]).alias(b) for b in bands]))
+    if not entering.limit(1).count():
+        gates = entering
+    else:
+        marked = base.select("cell_id", "receiver", F.lit(False).alias("_gate"), *[F.lit(0).cast(wide[b]).alias(b) for b in bands]).unionByName(entering.select("cell_id", F.lit(None).cast("bigint").alias("receiver"), F.lit(True).alias("_gate"), *bands))
+
+        def following(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = _held(batches)
+            if table is None:
+                return
+            gate = table.column("_gate").to_numpy()
+            nodes, table = table.filter(pa.array(~gate)), table.filter(pa.array(gate))
+            ids, to, some = _receivers(nodes)
+            at = np.where(some, _inside(ids, to), -1)
+            place = _inside(ids, table.column("cell_id").to_numpy())
+            table, place = table.filter(pa.array(place >= 0)), place[place >= 0]
+            end = _ends(at)[place]
+            yield pa.RecordBatch.from_arrays([table.column("cell_id").combine_chunks(), pa.array(to[end], mask=~some[end]), *(table.column(b).combine_chunks() for b in bands)], ["cell_id", "receiver", *bands])
+
+        ahead = settled(_dealt(marked, count).mapInArrow(following, sums_schema.replace("cell_id bigint", "cell_id bigint, receiver bigint", 1)))
+        add = {b: lambda own, more: own + F.coalesce(more, F.lit(0)) for b in bands}
+        gates = doubled(_links(ahead, *bands), add, {b: F.sum for b in bands})
+    both = base.withColumn("_gate", F.lit(False)).unionByName(gates.select("cell_id", F.lit(None).cast("bigint").alias("receiver"), F.lit(True).alias("_gate"), *[F.col(b).cast(wide[b]).alias(b) for b in bands]))
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _held(batches)
+        if table is None:
+            return
+        gate = table.column("_gate").to_numpy()
+        nodes, table = table.filter(pa.array(~gate)), table.filter(pa.array(gate))
+        ids, to, some = _receivers(nodes)
+        at = np.where(some, _inside(ids, to), -1)
+        place = _inside(ids, table.column("cell_id").to_numpy())
+        values = []
+        for b in bands:
+            v = nodes.column(b).to_numpy().copy()
+            np.add.at(v, place[place >= 0], table.column(b).to_numpy()[place >= 0])
+            values.append(v)
+        yield from pa.Table.from_arrays([pa.array(ids), *(pa.array(v) for v in _local_sums(at, values))], names=out_names).to_batches(max_chunksize=100_000)
+
+    return _dealt(both, count).mapInArrow(summed, sums_schema)
 
 
 def accumulation(cells: DataFrame) -> DataFrame:
@@ -98,14 +228,32 @@ def levels(cells: DataFrame) -> DataFrame:
 
 def resolved(cells: DataFrame, found: Column, *labels: Column) -> DataFrame:
     """cell_id, target and labels of the first cell downstream, the cell itself included, where ``found`` holds; null if none."""
+    ship_package(cells.sparkSession)
     names = [f"label{i}" for i in range(len(labels))]
-    rows = cells.withColumns({"_hit": F.coalesce(found, F.lit(False)), **{n: c for n, c in zip(names, labels, strict=True)}})
-    start = _links(rows, "_hit", *names)
-    pick = lambda c: F.when(F.col("_hit"), F.col(c))
-    state = settled(start.select("cell_id", F.when(~F.col("_hit"), F.col("ptr")).alias("ptr"), pick("cell_id").alias("target"), *[pick(n).alias(n) for n in names]))
+    rows = settled(cells.select(F.col("cell_id").cast("bigint").alias("cell_id"), F.col("receiver").cast("bigint").alias("receiver"), F.coalesce(found, F.lit(False)).alias("_hit"), *[c.alias(n) for n, c in zip(names, labels, strict=True)]))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(["cell_id bigint", "ptr bigint", "target bigint", *[f"{n} {kinds[n]}" for n in names]])
+
+    def followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _held(batches)
+        if table is None:
+            return
+        ids, to, some = _receivers(table)
+        hit = table.column("_hit").to_numpy()
+        end = _ends(np.where(some & ~hit, _inside(ids, to), -1))
+        there = hit[end]
+        labels_there = table.select(names).take(pa.array(np.where(there, end, 0), mask=~there)) if names else None
+        columns = [pa.array(ids), pa.array(to[end], mask=there | ~some[end]), pa.array(ids[end], mask=~there), *(labels_there.column(n) for n in names)]
+        yield from pa.Table.from_arrays(columns, names=["cell_id", "ptr", "target", *names]).to_batches(max_chunksize=100_000)
+
+    whole = _settled_unless_cyclic(_dealt(rows, rows.count()).mapInArrow(followed, schema))
+    gate_ids = whole.where("ptr is not null").select(F.col("ptr").alias("_gate")).distinct()
+    state = settled(whole.join(gate_ids, whole["cell_id"] == gate_ids["_gate"]).drop("_gate"))
     for _ in range(MAX_ROUNDS):
         if not state.where("ptr is not null").limit(1).count():
-            return state.drop("ptr")
+            gates = state.select(F.col("cell_id").alias("_gate"), F.col("target").alias("_target"), *[F.col(n).alias(f"_{n}") for n in names])
+            joined = whole.join(gates, whole["ptr"] == gates["_gate"], "left")
+            return joined.select("cell_id", F.coalesce("target", "_target").alias("target"), *[F.coalesce(n, f"_{n}").alias(n) for n in names])
         after = state.select(F.col("cell_id").alias("next_id"), F.col("ptr").alias("next_ptr"), F.col("target").alias("next_target"), *[F.col(n).alias(f"next_{n}") for n in names])
         joined = state.join(after, state["ptr"] == after["next_id"], "left")
         state = settled(joined.select("cell_id", "next_ptr", F.coalesce("target", "next_target").alias("target"), *[F.coalesce(n, f"next_{n}").alias(n) for n in names]).withColumnRenamed("next_ptr", "ptr"))

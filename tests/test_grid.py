@@ -256,3 +256,37 @@ def test_windows_end_at_their_row(spark):
         assert "unboundedfollowing$()" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert {r["cell_id"]: r["source_id"] for r in near.collect() if r["cell_id"] in (0, 2, 3, 12, 14)} == {0: 0, 2: 0, 3: 0, 12: 13, 14: 13}
     assert {r["x"]: r["y"] for r in drawn.collect()} == {-1.0: 1.0, 0.0: 1.0, 1.0: 1.5, 4.0: 3.0, 5.0: 3.0}
+
+
+def test_forests_are_followed_inside_tasks_first(spark, monkeypatch):
+    """Few rounds when a task holds the nodes, and the same sums and hits when every task holds few of them; missing receivers and cycles too."""
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(5000)[:400] - 2000
+    to = {int(n): int(ids[rng.integers(0, k)]) if k and rng.random() < 0.97 else (None if k % 2 else 99_999) for k, n in enumerate(ids)}
+    rows = [(n, t, n % 7, float(n % 3)) for n, t in to.items()]
+    frame = spark.createDataFrame(rows, "cell_id long, receiver long, a long, b double")
+
+    def downstream(n):
+        while n in to:
+            yield n
+            n = to[n]
+
+    sums = {n: [0, 0.0] for n in to}
+    hits = {}
+    for n in to:
+        way = list(downstream(n))
+        for m in way:
+            sums[m] = [sums[m][0] + n % 7, sums[m][1] + n % 3]
+        hits[n] = next(((m, f"at {m}") for m in way if m % 11 == 0), (None, None))
+    rounds = []
+    kept = forest.settled
+    monkeypatch.setattr(forest, "settled", lambda df, *a: rounds.append(1) or kept(df, *a))
+    for size in (1000, 9):
+        monkeypatch.setattr(forest, "TASK_NODES", size)
+        rounds.clear()
+        got = {r["cell_id"]: [r["a"], r["b"]] for r in forest.upstream_sum(frame, "a", "b").collect()}
+        found = forest.resolved(frame, F.col("cell_id") % 11 == 0, F.concat(F.lit("at "), F.col("cell_id").cast("string")))
+        assert got == sums and {r["cell_id"]: (r["target"], r["label0"]) for r in found.collect()} == hits
+        assert len(rounds) <= 8 or size < 1000
+    with pytest.raises(forest.CycleError):
+        forest.upstream_sum(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "cell_id long, receiver long, a long"), "a").collect()

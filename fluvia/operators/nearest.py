@@ -90,10 +90,28 @@ def bucketed_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataF
     return left.join(right, ["_bi", "_bj"]).withColumn("apart", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).where(F.col("apart") < radius).drop("_bi", "_bj")
 
 
+#: Cells of a quarter of the distance whose points are all closer than it to all points of the cell in the middle.
+_SURE = [(a, b) for a in range(-3, 4) for b in range(-3, 4) if (abs(a) + 1) ** 2 + (abs(b) + 1) ** 2 < 16]
+
+
 def drop_near(points: DataFrame, blockers: DataFrame, minimum: float, key: str = "id") -> DataFrame:
-    """Points without a blocker closer than ``minimum``: a left anti join on buckets."""
-    hit = bucketed_pairs(points.select(key, "x", "y"), blockers.select(F.col("x").alias("ox"), F.col("y").alias("oy")), minimum).select(key).distinct()
-    return points.join(hit, key, "left_anti")
+    """Points without a blocker closer than ``minimum``, each by its own place.
+
+    Cells of a quarter of the distance come first: a point is near if a blocker lies in a cell that is near as a whole, so crowded
+    places need no pairs. Only the points that are left are paired with blockers, through buckets. Points without a finite place stay.
+    """
+    if minimum <= 0:
+        return points
+    finite = "abs(x) < double('Infinity') and abs(y) < double('Infinity')"
+    cell = lambda c: F.floor(F.col(c) / (minimum / 4))
+    placed = blockers.where(finite).select("x", "y")
+    sure = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _SURE]))
+    cells = placed.select(cell("x").alias("_i"), cell("y").alias("_j")).distinct().withColumn("_to", sure)
+    taken = cells.select((F.col("_i") + F.col("_to.a")).alias("_ci"), (F.col("_j") + F.col("_to.b")).alias("_cj")).distinct()
+    own = lambda c: F.when(F.expr(finite), cell(c))
+    left = points.withColumns({"_ci": own("x"), "_cj": own("y")}).join(taken, ["_ci", "_cj"], "left_anti").drop("_ci", "_cj")
+    hit = bucketed_pairs(left.where(finite).select("x", "y").distinct(), placed.distinct().select(F.col("x").alias("ox"), F.col("y").alias("oy")), minimum).select("x", "y").distinct()
+    return left.join(hit, ["x", "y"], "left_anti").select(*points.columns)
 
 
 def drop_claimed(points: DataFrame, placed: DataFrame, spacing: float, factor: float = 0.75, key: str = "id") -> DataFrame:

@@ -290,3 +290,18 @@ def test_forests_are_followed_inside_tasks_first(spark, monkeypatch):
         assert len(rounds) <= 8 or size < 1000
     with pytest.raises(forest.CycleError):
         forest.upstream_sum(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "cell_id long, receiver long, a long"), "a").collect()
+
+
+def test_crowded_points_need_no_pairs(spark, monkeypatch):
+    """Points near blockers by brute force; in a crowd, only points that no near cell settles are paired."""
+    rng = np.random.default_rng(6)
+    points = [(k, *map(float, rng.uniform(0, 100, 2))) for k in range(400)] + [(1, 500.0, 500.0), (900, float("nan"), 3.0), (901, None, 3.0)]
+    crowd = [tuple(map(float, p)) for p in rng.uniform(0, 60, (3000, 2))] + [(float("nan"), 0.0), (70.0, 90.0)]
+    asked = []
+    kept = nearest.bucketed_pairs
+    monkeypatch.setattr(nearest, "bucketed_pairs", lambda p, *a: asked.append(p) or kept(p, *a))
+    frames = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(crowd, "x double, y double")
+    got = [r["id"] for r in nearest.drop_near(*frames, 8.0).collect()]
+    want = [k for k, x, y in points if x is None or not any(np.hypot(x - u, y - v) < 8.0 for u, v in crowd)]
+    assert sorted(got) == sorted(want)
+    assert asked[0].count() < 0.75 * len(points)
